@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import slices, written
 
 #: Fixed values of HTML: elements without content, with raw text, and the ones that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,9 +208,13 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, ``text`` and ``n_chars``."""
+    """One row per page: id, url, ``text`` and ``n_chars``.
+
+    The winners are a table of one row per host: Spark broadcasts it when its size allows and else
+    joins by host, where a hot host's pages can be split since the other side is a plain exchange.
+    """
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = source.join(host_paths(pages, url_col, html_col), "host", "left").select("id", "url", "html", "path")
+    joined = source.join(written(host_paths(pages, url_col, html_col)), "host", "left").select("id", "url", "html", "path")
     kinds = [to_arrow_type(joined.schema[c].dataType) for c in ("id", "url")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
