@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, license_scan, quality_rules, secret_scan
+from tagloom.llm import html_extract, license_scan, mixing, packing, quality_rules, secret_scan
 from tagloom.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -28,7 +36,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op9_html_extract, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op5_mixing, op7_packing, op9_html_extract, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
