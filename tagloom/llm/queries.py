@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, license_scan, mixing, packing, quality_rules, secret_scan
+from tagloom.llm import html_extract, license_scan, mixing, packing, pii, quality_rules, secret_scan
 from tagloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -36,7 +40,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op5_mixing, op7_packing, op9_html_extract, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op9_html_extract, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
