@@ -48,4 +48,4 @@ def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: file sizes for a scan. Used only to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, license_scan, mixing, packing, pii, quality_rules, secret_scan
+from tagloom.llm import html_extract, license_scan, mixing, packing, pii, quality_rules, secret_scan, topk_search
 from tagloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -40,8 +44,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op9_html_extract, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk_search": topk_search.ORACLE}
