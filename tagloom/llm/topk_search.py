@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     # candidate blocks are dealt out to lanes and every query block goes to each lane: an equi-join by lane forms each pair once
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = blocks.where("not query").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    sent = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long"))
+    sent = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     work = candidates.join(sent, "lane").repartition(lanes, "block", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
