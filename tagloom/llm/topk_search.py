@@ -170,11 +170,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 ORACLE = """
 with v as (
-  select vec_id, row_number() over () as r, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as w
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
   from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, q.r, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), z -> coalesce(z[1], 0) * coalesce(z[2], 0))) as bigint) as score
+  select q.vec_id as query_id, q.r, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r
 ), t as (select *, cast(row_number() over (partition by query_id, r order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from t where rank <= 5
