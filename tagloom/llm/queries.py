@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, license_scan, mixing, packing, pii, quality_rules, secret_scan, topk_search
+from tagloom.llm import html_extract, license_scan, lm_scoring, mixing, packing, pii, quality_rules, secret_scan, topk_search
 from tagloom.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
