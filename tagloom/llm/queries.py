@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, license_scan, lm_scoring, mixing, packing, pii, quality_rules, secret_scan, topk_search
+from tagloom.llm import html_extract, license_scan, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, secret_scan, topk_search
 from tagloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -48,8 +52,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_near_dedup, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk_search": topk_search.ORACLE}
+    return {"op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
