@@ -175,7 +175,8 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 20, shard_col: str | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each pass over a document; the row of a
-    partial pass has the text up to its last word taken. ``shard_col`` adds the output shard."""
+    partial pass has the text up to its last word taken. With ``shard_col`` rows are dealt to the
+    output shards and shuffled within, and that column tells the shard."""
     plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), source_key(F.col(source_col)).alias("_s"), plan.row_hash(docs).alias("_h"), word_count(F.col(text_col)).alias("_size"))
     text = F.col("_row")[text_col]
@@ -186,9 +187,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [new[c].alias(c) for c in docs.columns]
     if shard_col:
         columns.append(F.get("_shards", F.col("_k")).alias(shard_col))
-    return out.select(*columns)
+    return shuffled(out.select(*columns), shard_col, plan.shards, seed) if shard_col else out.select(*columns)
 
 
-def shuffled(mixed: DataFrame, shard_col: str, shards: int, seed: int = 20) -> DataFrame:
-    """Rows by shard, in an order of hashes within each."""
-    return mixed.repartition(shards, shard_col).sortWithinPartitions(shard_col, F.xxhash64(F.lit(seed), *[c for c in mixed.columns if c != shard_col]))
+def shuffled(mixed: DataFrame, shard_col: str, shards: int = MAX_SHARDS, seed: int = 20) -> DataFrame:
+    """Each shard in a partition of its own where there are so many, its rows in an order of hashes."""
+    order = F.xxhash64(F.lit(seed), *[c for c in mixed.columns if c != shard_col])
+    return mixed.repartitionById(shards, F.col(shard_col)).sortWithinPartitions(shard_col, order)

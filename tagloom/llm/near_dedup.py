@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from tagloom.llm.common import slices, written
@@ -281,6 +282,37 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+    rows, of_class, _ = _classes_of(docs, id_col, text_col)
+    out = rows.select("doc_id", "n", "node").join(of_class, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.col("node").isNull())
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each component: a row of its smallest id
+    (and class). Rows without words all stay."""
+    _, _, chosen = _classes_of(docs, id_col, text_col)
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    at, schema, names = docs.columns.index(text_col), docs.schema, docs.columns
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                nodes = [set_hash(shingles(t)) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], [*names, "_node"])
+
+    none = F.lit(-(1 << 63)).cast("long")
+    with_node = docs.where(words).mapInArrow(add, StructType([*schema.fields, StructField("_node", LongType())]))
+    keyed = with_node.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), none))
+    wanted = chosen.select(F.col("node").alias("_node"), F.coalesce("doc_id", none).alias("_id"))
+    one = keyed.join(wanted, ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"])
+    return one.select(*names).unionByName(docs.where(~words))
+
+
+def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, node), each class's ``component_id``, and the chosen class (node, doc_id) of each component."""
     spark = docs.sparkSession
     rows = written(_sets(docs, id_col, text_col, True))
     classes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("data").alias("data")))
@@ -337,12 +369,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest document of each component; classes outside clusters stand alone
     member = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     member = written(member)
-    best = written(member.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_class = written(member.join(best, "label").select("node", "component_id"))
-    out = rows.select("doc_id", "n", "node").join(of_class, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.coalesce(F.col("doc_id") == component, F.col("node").isNull())
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "doc_id", "node"))
+    best = written(member.groupBy("label").agg(first.alias("first")).select("label", "first.doc_id", "first.node"))
+    of_class = written(member.select("node", "label").join(best.select("label", F.col("doc_id").alias("component_id")), "label").select("node", "component_id"))
+    return rows, of_class, best.select("node", "doc_id")
 
 
 ORACLE = r"""
