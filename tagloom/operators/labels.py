@@ -136,7 +136,7 @@ def pixel_share(labels: DataFrame, keys: list[str], image: int = 640, least: flo
 def normalized(labels: DataFrame) -> DataFrame:
     """Labels in image units: a label with any value over 1 is divided by the image size; ``normalized`` tells."""
     big = F.greatest(*COORDS) > 1
-    return labels.withColumn("normalized", big).withColumns({c: F.when(F.col("normalized"), F.col(c) / SIZE).otherwise(F.col(c)) for c in COORDS}) if "normalized" not in labels.columns else labels
+    return labels.withColumn("normalized", big).withColumns({c: F.when(F.col("normalized"), F.col(c) / SIZE).otherwise(F.col(c)) for c in COORDS})
 
 
 def label_text(cls: Column | int | None = 0) -> Column:
