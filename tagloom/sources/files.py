@@ -32,7 +32,7 @@ def write_export(rows: DataFrame, path: str, single: bool = False, bom: bool = F
     results; ``bom``: a byte order mark before the first header."""
     out = rows.select(*EXPORT_COLUMNS)
     if bom:
-        out = out.withColumnRenamed(EXPORT_COLUMNS[0], "﻿" + EXPORT_COLUMNS[0])
+        out = out.withColumnRenamed(EXPORT_COLUMNS[0], "\ufeff" + EXPORT_COLUMNS[0])
     (out.coalesce(1) if single else out).write.csv(path, header=True, emptyValue="", encoding="UTF-8")
 
 
