@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, path: str, encoding: str = "windows-1251") -> DataFrame:
-    """``row_no``, ``fullname`` and ``code`` of a ``;`` file with a header. Reading again is a reload."""
-    schema = "fullname string, code string"
-    raw = spark.read.csv(path, sep=";", encoding=encoding, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
-    return raw.withColumn("row_no", F.monotonically_increasing_id()).select("row_no", "fullname", "code")
+    """``row_no``, ``fullname`` and ``code`` of a ``;`` file with a header. Reading again is a reload.
+
+    Spark's reader takes few encodings, so bytes are read as Latin-1, which keeps each as one character,
+    and the upper half is then translated to the single-byte ``encoding``; bytes that it lacks become
+    replacement characters.
+    """
+    raw = spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True, schema="fullname string, code string", enforceSchema=True)
+    upper = bytes(range(128, 256))
+    there, meant = upper.decode("latin-1"), "".join(bytes([b]).decode(encoding, "replace") for b in upper)
+    columns = [F.translate(c, there, meant).alias(c) for c in ("fullname", "code")]
+    return raw.select(F.monotonically_increasing_id().alias("row_no"), *columns)
 
 
 def entries(catalog: DataFrame) -> DataFrame:
