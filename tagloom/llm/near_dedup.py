@@ -46,6 +46,8 @@ PERCENT = 85
 WIDTH = 5
 #: Members and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 1 << 21
+#: Shingles of small clusters that are verified in one call.
+UNIT_SHINGLES = 1 << 18
 #: Largest groups of a cluster against which all its groups are tested.
 PIVOTS = 8
 #: Bits of the filter that tells which documents' sets are needed; a fixed size, so it can be sent to tasks.
@@ -333,7 +335,7 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     sets = written(sets)
 
     # links within blocks; small clusters share units of bounded size
-    units = max(1, (sizes.agg(F.sum("items")).first()[0] or 0) // BLOCK_SHINGLES * 2)
+    units = 1 + (sizes.agg(F.sum("items")).first()[0] or 0) // UNIT_SHINGLES
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(units))).otherwise(F.xxhash64("root", "block"))
     local = sets.select(unit.alias("unit"), "root", "block", "node", "data").groupBy("unit").applyInArrow(lambda t: _link_blocks(t), "root bigint, node bigint, local bigint, degree bigint")
     local = written(local)
