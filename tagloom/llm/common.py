@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [column.to_pylist() for column in part.columns]
+    pa.default_memory_pool().release_unused()
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of at most ``BATCH_BYTES`` to Python, so that a task's
+    memory in the JVM and in Python is bounded whatever the texts' length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``bounded(df)`` with columns named by position, since names with dots cannot be sent to Python."""
+    return bounded(df.toDF(*(f"_c{i}" for i in range(len(df.columns)))))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:

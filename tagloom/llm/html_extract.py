@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagloom.llm.common import slices, written
+from tagloom.llm.common import bounded, slices, written
 
 #: Fixed values of HTML: elements without content, with raw text, and the ones that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +51,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _DIGITS = re.compile(r"\d+")
-DECAY = 0.9
+DECAY = 0.75
 
 
 class Page:
@@ -198,11 +198,13 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for hosts, texts in slices(batches):
             total: dict[tuple[str, str], int] = {}
             for host, text in zip(hosts, texts):
-                for path, score in Page(text or "").scores().items():
-                    total[host, path] = total.get((host, path), 0) + round(score * 16)
+                scores = Page(text or "").scores()
+                top = max(scores.values(), default=0.0) or 1.0
+                for path, score in scores.items():  # a page's votes are shares of its best score, so long pages count like others
+                    total[host, path] = total.get((host, path), 0) + round(1e6 * score / top)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(total.values(), pa.int64())], ["host", "path", "votes"])
 
-    votes = source.mapInArrow(vote, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = bounded(source).mapInArrow(vote, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("path").alias("path"))).alias("best"))
     return best.select("host", F.col("best.path").alias("path"))
 
@@ -223,4 +225,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(got, pa.string()), pa.array([len(g) for g in got], pa.int64())], ["id", "url", "text", "n_chars"])
 
     types = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("id", "url"))
-    return joined.mapInArrow(run, f"{types}, text string, n_chars bigint").withColumnsRenamed({"id": id_col, "url": url_col})
+    return bounded(joined).mapInArrow(run, f"{types}, text string, n_chars bigint").withColumnsRenamed({"id": id_col, "url": url_col})

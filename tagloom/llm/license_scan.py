@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import bounded, slices
 
 _GRANT_MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -144,7 +144,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [[dict(zip(("license", "dice", "start", "end"), m)) for m in scan_text(t or "", templates, threshold)] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(rows, _FOUND)], ["id", "matches"])
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, matches array<struct<license:string,dice:double,start:bigint,end:bigint>>")
+    out = bounded(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, matches array<struct<license:string,dice:double,start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -159,3 +159,28 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.when(some, F.round(-best["d"], 6)).otherwise(F.lit(0.0)).alias("dice"),
         F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",").alias("matches"),
     )
+
+
+def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The query in DuckDB's SQL: common bigrams of all passages and templates, then the best of each passage."""
+    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(templates))
+    words = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+    grams = "case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+l as (select r, unnest(string_split(t, chr(10))) as s, unnest(range(len(string_split(t, chr(10))))) as i from d),
+p as (
+  select r, 0 as whole, s, sum(length(s) + 1) over (partition by r order by i) - length(s) - 1 as a from l
+  union all select r, 1, t, 0 from d where contains(t, chr(10))
+), n as (select row_number() over () as k, *, {words.format('s')} as w from p),
+g as (select k, unnest({grams}) as g from n), c as (select k, g, count(*) as c from g group by 1, 2), z as (select k, sum(c) as n from c group by 1),
+tw as (select i, name, {words.format('text')} as w from (values {rows}) v(i, name, text)), tg as (select i, unnest({grams}) as g from tw),
+tc as (select i, g, count(*) as c from tg group by 1, 2), tz as (select i, sum(c) as n from tc group by 1),
+s as (select c.k, tc.i, 2 * sum(least(c.c, tc.c)) / (any_value(z.n) + any_value(tz.n)) as dice from c join tc on c.g = tc.g join z on z.k = c.k join tz on tz.i = tc.i group by 1, 2),
+b as (select * from (select *, row_number() over (partition by k order by dice desc, i) as o from s where dice >= {threshold}) where o = 1),
+m as (select n.r, n.whole, tw.name, b.dice, cast(n.a as bigint) as a, cast(n.a + length(n.s) as bigint) as e from b join n on n.k = b.k join tw on tw.i = b.i),
+u as (select *, max(case when whole = 1 then dice end) over (partition by r) as wd, max(case when whole = 0 then dice end) over (partition by r) as ld from m),
+f as (select * from u where whole = case when wd is not null and (ld is null or wd >= ld) then 1 else 0 end),
+q as (select r, count(*) as n, min({{'d': -dice, 's': a, 'l': name}}) as best, string_agg(name || ':' || a || ':' || e, ',' order by a) as matches from f group by 1)
+select doc_id, coalesce(n, 0) as n_matches, best.l as license, coalesce(round(cast(-best.d as double), 6), 0) as dice, coalesce(matches, '') as matches from d left join q using (r)
+"""

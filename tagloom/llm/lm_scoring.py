@@ -34,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagloom.llm.common import estimated_bytes, slices, written
+from tagloom.llm.common import bounded, slices, written
 
 BLOCK = 1 << 20
-#: Bytes of input per bucket of keys.
-BUCKET_BYTES = 5 << 20
+#: Bytes of text per bucket of keys.
+BUCKET_BYTES = 8 << 20
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...
 LEVELS = 20
 _END = b" "  # no word has a space
@@ -167,7 +167,7 @@ def _requests(source: DataFrame, buckets: int, nbytes: int) -> DataFrame:
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "bucket", "block", "keys", "counts"])
 
-    return source.mapInArrow(run, _REQUEST)
+    return bounded(source).mapInArrow(run, _REQUEST)
 
 
 def _answers(requests: DataFrame, nbytes: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _payload(source: DataFrame, wanted: tuple[int, ...]) -> DataFrame:
             row = (b.number, b.ids, b.roles.tobytes(), b.lengths.astype("<i8").tobytes(), low, _planes(b.unigrams, 8))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), kind, *[pa.binary()] * 4])], names)
 
-    return source.mapInArrow(run, f"block bigint, ids array<{id_type.simpleString()}>, roles binary, lengths binary, tokens binary, unigrams binary")
+    return bounded(source).mapInArrow(run, f"block bigint, ids array<{id_type.simpleString()}>, roles binary, lengths binary, tokens binary, unigrams binary")
 
 
 def _restored(left: pa.Table, right: pa.Table, nbytes: int):
@@ -282,7 +282,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     write other inputs to a table first. A difference is noticed and fails the job.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), role_of(F.col(id_col)).alias("role"))
-    buckets = max(8, estimated_bytes(docs) // BUCKET_BYTES)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(1 << 31, max(8, size // BUCKET_BYTES))
     nbytes = min(8, -(-(int(buckets).bit_length() + _BITS) // 8))
     answers = written(_answers(_requests(source, buckets, nbytes), nbytes))
     got = answers.where("block = -1").agg(F.sum("types"), F.sum("total")).first()

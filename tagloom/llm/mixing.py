@@ -178,12 +178,12 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     partial pass has the text up to its last word taken. With ``shard_col`` rows are dealt to the
     output shards and shuffled within, and that column tells the shard."""
     plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), source_key(F.col(source_col)).alias("_s"), plan.row_hash(docs).alias("_h"), word_count(F.col(text_col)).alias("_size"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), source_key(F.col(source_col)).alias("_s"), plan.row_hash(docs).alias("_h"), word_count(F.col(text_col)).alias("_size"))
     text = F.col("_row")[text_col]
     full = F.transform(F.array_repeat(F.lit(0), F.col("_full").cast("int")), lambda _: F.col("_size"))
     passes = F.when(F.col("_size") > 0, F.concat(full, F.filter(F.array(F.col("_part")), lambda p: p > 0))).otherwise(F.array().cast("array<bigint>"))
     out = plan.taken(rows).select("_row", "_size", "_shards", F.posexplode(passes).alias("_k", "_n"))
-    new = {c: F.col("_row")[c] for c in docs.columns} | {text_col: F.when(F.col("_n") == F.col("_size"), text).otherwise(first_words(text, F.col("_n")))}
+    new = {c: F.col("_row").getField(c) for c in docs.columns} | {text_col: F.when(F.col("_n") == F.col("_size"), text).otherwise(first_words(text, F.col("_n")))}
     columns = [new[c].alias(c) for c in docs.columns]
     if shard_col:
         columns.append(F.get("_shards", F.col("_k")).alias(shard_col))
@@ -192,5 +192,5 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def shuffled(mixed: DataFrame, shard_col: str, shards: int = MAX_SHARDS, seed: int = 20) -> DataFrame:
     """Each shard in a partition of its own where there are so many, its rows in an order of hashes."""
-    order = F.xxhash64(F.lit(seed), *[c for c in mixed.columns if c != shard_col])
+    order = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in mixed.columns if c != shard_col))
     return mixed.repartitionById(shards, F.col(shard_col)).sortWithinPartitions(shard_col, order)

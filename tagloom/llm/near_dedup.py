@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import slices, written
+from tagloom.llm.common import bounded, fresh, numbered, slices, written
 from tagloom.llm.components import components
 
 BANDS, ROWS = 48, 8
@@ -195,7 +195,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, sketches: bool, wanted=No
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n", "node", "data"])
 
-    return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, data binary")
+    return bounded(source).mapInArrow(run, "doc_id bigint, n bigint, node bigint, data binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
-    return classes.select("node", "data").mapInArrow(run, "key bigint, node bigint")
+    return bounded(classes.select("node", "data")).mapInArrow(run, "key bigint, node bigint")
 
 
 def _filter_of(ids: DataFrame):
@@ -297,20 +297,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _, _, chosen = _classes_of(docs, id_col, text_col)
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     at, schema, names = docs.columns.index(text_col), docs.schema, docs.columns
+    node_col, key_col = fresh(docs, "_node"), fresh(docs, "_id")
+    quoted = [f"`{c}`" for c in names]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 nodes = [set_hash(shingles(t)) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], [*names, "_node"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], [*names, node_col])
 
     none = F.lit(-(1 << 63)).cast("long")
-    with_node = docs.where(words).mapInArrow(add, StructType([*schema.fields, StructField("_node", LongType())]))
-    keyed = with_node.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), none))
-    wanted = chosen.select(F.col("node").alias("_node"), F.coalesce("doc_id", none).alias("_id"))
-    one = keyed.join(wanted, ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"])
-    return one.select(*names).unionByName(docs.where(~words))
+    with_node = numbered(docs.where(words)).mapInArrow(add, StructType([*schema.fields, StructField(node_col, LongType())]))
+    keyed = with_node.withColumn(key_col, F.coalesce(F.col(id_col).cast("long"), none))
+    wanted = chosen.select(F.col("node").alias(node_col), F.coalesce("doc_id", none).alias(key_col))
+    one = keyed.join(wanted, [node_col, key_col], "left_semi").dropDuplicates([node_col, key_col])
+    return one.select(*quoted).unionAll(docs.where(~words))
 
 
 def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -352,7 +354,7 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         with_set = written(groups.join(shape, "node").select("root", "local", "data"))
         pivot_sets = written(with_set.join(pivots.select("root", "local"), ["root", "local"]).select("root", F.col("local").alias("p_local"), F.col("data").alias("p_data")))
         tests = with_set.join(pivot_sets, "root").where("local <> p_local").select("local", "data", "p_local", "p_data")
-        labels = written(_labels(labels, tests.mapInArrow(_link_pivots, "a bigint, b bigint")))
+        labels = written(_labels(labels, bounded(tests).mapInArrow(_link_pivots, "a bigint, b bigint")))
         # members outside a cluster's largest component against all other components
         placed = written(sets.join(many, "root").dropDuplicates(["node"]).join(labels, "node"))
         largest = placed.groupBy("root", "label").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "label"))["label"].alias("main"))

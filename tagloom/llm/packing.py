@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import bounded, slices
 
 #: More sources than this share queues by the hash of their name.
 MAX_QUEUES = 4096
@@ -51,7 +51,8 @@ class Encoder:
     """
 
     _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)")
-    CACHE = 300_000
+    #: Most words and parts kept. Parts are dear to encode, words are put together from them cheaply.
+    WORDS, PARTS = 100_000, 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,9 +83,7 @@ class Encoder:
                 self.parts.update(zip(some, self._whole(some)))
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > self.CACHE:
-            self.words.clear()
-        if len(self.parts) > self.CACHE:
+        if len(self.parts) > self.PARTS:
             self.parts.clear()
         plain, odd = [], []
         for word in new:
@@ -103,7 +102,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if new := set().union(*split).difference(self.words):
-            if len(self.words) + len(new) > self.CACHE:
+            if len(self.words) + len(new) > self.WORDS:
                 self.words.clear()
                 new = set().union(*split)
             self._learn(list(new))
@@ -261,7 +260,7 @@ def pack(
             yield batch(held)
 
     types = f"id {source.schema['id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return source.mapInArrow(run, types).withColumnRenamed("id", id_col)
+    return bounded(source).mapInArrow(run, types).withColumnRenamed("id", id_col)
 
 
 def digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

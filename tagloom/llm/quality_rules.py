@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tagloom.llm import boosting
-from tagloom.llm.common import slices
+from tagloom.llm.common import bounded, numbered, slices
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame, text_col: str = "text", carry: tuple[st
             yield pa.RecordBatch.from_arrays(arrays, [*carry, *_BASE, "features"])
 
     types = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry]
-    return source.mapInArrow(run, ", ".join([*types, *(f"{b} bigint" for b in _BASE), "features array<double>"]))
+    return bounded(source).mapInArrow(run, ", ".join([*types, *(f"{b} bigint" for b in _BASE), "features array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 4000, keep_good: float = 0.999) -> Model:
@@ -139,7 +139,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(arrays, ["id", *_BASE, "base_failed", "quality", "kept"])
 
     types = ", ".join(f"{b} bigint" for b in _BASE)
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {types}, base_failed boolean, quality double, kept boolean")
+    out = bounded(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {types}, base_failed boolean, quality double, kept boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -153,6 +153,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
                 part = batch.slice(k, 256)
                 got = [statistics(t or "") for t in part.column(at).to_pylist()]
                 keeps, _ = model.keeps(np.array([g[1] for g in got], float))
-                yield part.filter(pa.array(keeps & np.array([not base_failed(g[0][0], g[0][4]) for g in got])))
+                kept = part.filter(pa.array(keeps & np.array([not base_failed(g[0][0], g[0][4]) for g in got])))
+                yield pa.RecordBatch.from_arrays(kept.columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)

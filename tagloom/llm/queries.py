@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
+    return {"op10_license_scan": license_scan.oracle_sql(), "op4_secret_scan": secret_scan.oracle_sql(), "op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}

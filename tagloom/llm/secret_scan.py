@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import bounded, numbered, slices
 
 _PARSE = re._parser.parse
 _MAX_EXACT = 32
@@ -79,7 +79,7 @@ def trigram_query(pattern: str) -> Query:
             elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= 8:
                 now = frozenset(chr(a).lower() for _, a in arg)
             elif name == "SUBPATTERN":
-                now = inner(arg[3])
+                now = walk(arg[3])
             elif name == "BRANCH":
                 parts = [inner_exact(x) for x in arg[1]]
                 now = frozenset().union(*parts) if all(p is not None for p in parts) else None
@@ -88,8 +88,8 @@ def trigram_query(pattern: str) -> Query:
                 now = inner_exact(what) if high == 1 or low == high == 1 else None
                 if now is not None and low == 0:
                     now |= {""}
-                elif now is None and low >= 1:
-                    inner(what)
+                elif now is None and low >= 1 and (once := walk(what)) is not None:
+                    absorb(once)
             elif name in ("AT", "ASSERT", "ASSERT_NOT"):
                 now = frozenset({""})
             else:
@@ -105,9 +105,6 @@ def trigram_query(pattern: str) -> Query:
         absorb(exact)
         return None
 
-    def inner(items) -> frozenset[str] | None:
-        return walk(items)
-
     def inner_exact(items) -> frozenset[str] | None:
         """As ``walk``, but what an optional or alternative part needs is no need of the whole."""
         before = len(clauses)
@@ -204,7 +201,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(source.schema["id"].dataType)]
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, spans {SPANS}")
+    out = bounded(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, spans {SPANS}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -218,9 +215,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
                 part = batch.slice(k, 256)
                 texts = part.column(at).to_pylist()
                 new = [masked(t, s, mask) if s else t for t, s in zip(texts, scan_texts([t or "" for t in texts], rules))]
-                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+                columns = [*part.columns]
+                columns[at] = pa.array(new, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
@@ -247,3 +246,36 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(span_text(spans, lambda s: s["kind"].isin(base)), 256).alias("base_sha256"),
         span_text(spans).alias("spans"),
     )
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query in DuckDB's SQL: matches are marked by characters that no rule has, split there, and
+    their places are sums of lengths."""
+
+    def spelled(pattern: str) -> str:
+        """Letters outside classes in both cases, and no capturing groups but the last."""
+        out, inside = "", False
+        for i, c in enumerate(pattern):
+            inside = (inside or c == "[") and c != "]"
+            out += f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() and not inside and pattern[i - 1] != "\\" and pattern[i - 3 : i - 1] != "\\x" else c
+        return out
+
+    parts = []
+    for order, rule in enumerate(rules):
+        pattern = (spelled(rule.pattern) if rule.ignore_case else rule.pattern).replace("'", "''")
+        parts.append(f"""
+  select r, '{rule.kind}' as kind, {order} as o, unnest(list_transform(range(2, len(x) + 1), lambda i: {{
+      's': cast(list_sum(list_transform(x[1 : i - 1], lambda y: length(y))) - (i - 2) as bigint), 'm': split_part(x[i], chr(2), 1)}})) as p, {rule.group} as g, {rule.least} as least, '{pattern}' as pattern
+  from (select r, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as x from d)""")
+    base = ", ".join(f"'{rule.kind}'" for rule in rules if rule.base)
+    counts = ", ".join(f"count(*) filter (kind = '{rule.kind}') as n_{rule.kind}" for rule in rules if rule.base)
+    span = "kind || ':' || p.s || ':' || (p.s + length(p.m))"
+    # a rule with a group has one before it, in its pattern and so in the match
+    return f"""
+with d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as text from documents),
+m as ({" union all ".join(parts)}),
+k as (select * from m where length(case when g = 0 then p.m else regexp_extract(p.m, '{(spelled(next(r for r in rules if r.group).pattern)).replace("'", "''")}', 2) end) >= least),
+a as (select r, {counts}, string_agg({span}, ',' order by p.s, o) filter (kind in ({base})) as base, string_agg({span}, ',' order by p.s, o) as spans from k group by r)
+select doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) as n_{rule.kind}" for rule in rules if rule.base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (r)
+"""

@@ -10,7 +10,8 @@ The work is that of all queries against all rows; memory is a block of each.
 
 Defined results: rows whose vector is null, or holds a null or non-finite component, and rows with a
 null id take no part; an absent component counts 0, so lengths may differ; a query's own row is left
-out, other rows with its id are not; ties go to the smaller id; an empty table gives an empty result;
+out, other rows with its id are not; ties go to the smaller id; a
+score beyond a long is given as the nearest long; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import estimated_bytes, written
+from tagloom.llm.common import bounded, estimated_bytes, written
 
 ROWS = 8192
 SCALE = 256.0
@@ -137,7 +138,7 @@ def _blocks(vectors: DataFrame, id_col: str, vector_col: str, every: int) -> Dat
         if ids:
             yield packed()
 
-    return source.mapInArrow(run, _BLOCK)
+    return bounded(source).mapInArrow(run, _BLOCK)
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
@@ -159,11 +160,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 own = np.frombuffer(r["q_places"], "<i8") if r["block"] == r["q_block"] else np.full(len(q_ids), -1)
                 got = search_block(a, own, b, ids, k)
                 row = np.arange(len(q_ids)) + (r["q_block"] << 14)
-                flat = [(int(n), int(q), v, s) for n, q, x in zip(row, q_ids, got) for v, s in x]
+                flat = [(int(n), int(q), v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for n, q, x in zip(row, q_ids, got) for v, s in x]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["row", "query_id", "vec_id", "score"])
 
-    partial = work.mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    partial = bounded(work).mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
