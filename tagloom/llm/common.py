@@ -64,12 +64,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagloom-{uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors."""
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors. It goes when the application ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    writer.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -15,6 +15,7 @@ scanned each; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from functools import lru_cache, partial
@@ -176,8 +177,8 @@ def _made(seed: int, count: int) -> list[tuple[str, str, str, str, int]]:
 
 def _featured(spark: SparkSession, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Features by the very expressions that score documents."""
-    made = F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("kind", "m", "before", "after", "y")))) for r in rows)))
-    df = spark.range(1).select(made).repartition(2)
+    text = json.dumps([dict(zip(("kind", "m", "before", "after", "y"), r)) for r in rows])
+    df = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<kind:string,m:string,before:string,after:string,y:int>>")))
     got = df.select("y", features(F.struct("m", "before", "after")).alias("f")).collect()
     return np.array([[r["f"][f] for f in FEATURES] for r in got], float), np.array([r["y"] for r in got], float)
 
