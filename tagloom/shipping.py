@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="tagloom-")
+    folder = tempfile.mkdtemp(prefix="tagloom-")  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "tagloom.zip")
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(root.rglob("*.py")):
