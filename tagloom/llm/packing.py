@@ -50,9 +50,9 @@ class Encoder:
     punctuation behind are split in two first, which the tokenizer would also do. Caches are bounded.
     """
 
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)")
-    #: Most words and parts kept. Parts are dear to encode, words are put together from them cheaply.
-    WORDS, PARTS = 100_000, 300_000
+    _PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$|[^\\n]+$)", re.M)
+    #: Most words and parts of a generation; the one before is kept, and what is used again goes over to the new one.
+    WORDS, PARTS = 100_000, 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,6 +64,8 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,27 +86,33 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.parts) > self.PARTS:
-            self.parts.clear()
-        plain, odd = [], []
-        for word in new:
-            m = self._PLAIN.fullmatch(text := word.decode("utf-8", "surrogatepass"))
-            if m:
-                plain.append((word, m[1].lower(), m[2]))
-            else:
-                odd.append((word, text))
-        self._learn_parts(list({p for _, a, b in plain for p in (a, b) if p} - self.parts.keys()))
-        for word, a, b in plain:
-            self.words[word] = self.parts[a] + self.parts[b] if b else self.parts[a]
-        if odd:
-            self.words.update(zip((w for w, _ in odd), self._whole([t for _, t in odd])))
+            self.old_parts, self.parts = self.parts, {}
+        # one pass over all words in lower case: letters and punctuation, or neither for another word
+        found = self._PLAIN.findall(b"\n".join(new).decode("utf-8", "surrogatepass").lower())
+        parts = set()
+        for pair in found:
+            parts.update(pair)
+        parts.discard("")
+        parts -= self.parts.keys()
+        again = parts & self.old_parts.keys()
+        self.parts.update((x, self.old_parts[x]) for x in again)
+        self._learn_parts(list(parts - again))
+        self.parts[""] = b""
+        have = self.parts.__getitem__
+        self.words.update(zip(new, (have(a) + have(b) if b else have(a) for a, b in found)))
+        if odd := [w for w, (a, _) in zip(new, found) if not a]:
+            self.words.update(zip(odd, self._whole([w.decode("utf-8", "surrogatepass") for w in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if new := set().union(*split).difference(self.words):
-            if len(self.words) + len(new) > self.WORDS:
-                self.words.clear()
-                new = set().union(*split)
+        every = set().union(*split)
+        new = every.difference(self.words)
+        if new and len(self.words) + len(new) > self.WORDS:
+            self.old_words, self.words, new = self.words, {}, every
+        again = new & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in again)
+        if new := new - again:
             self._learn(list(new))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
