@@ -176,3 +176,19 @@ def tag_info(texts: Column, engine: str = "ocr") -> Column:
         "additional_info": additional(texts, name),
     }
     return F.struct(*(v.alias(k) for k, v in values.items()))
+
+
+def simple_info(texts: Column) -> Column:
+    """Prices, barcode and name only."""
+    prices = dict(zip(("price_default", "price_card", "price_discount"), ranked_prices(price_list(texts, "ocr"))))
+    values = prices | {"barcode": barcode(texts), "product_name": longest_name(texts)}
+    return F.struct(*(v.alias(k) for k, v in values.items()))
+
+
+def single_fields(texts: Column, decoded: Column | None = None) -> Column:
+    """Highest price, joined name and barcode; a ``decoded`` barcode that passes the check goes first."""
+    code = barcode(texts)
+    if decoded is not None:
+        code = F.coalesce(F.when(valid_ean(digits(decoded)), digits(decoded)), code)
+    price = F.try_element_at(price_list(texts, "ocr"), F.lit(1))
+    return F.struct(price.alias("price"), plain_name(texts).alias("product_name"), code.alias("barcode"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from tagloom.functions import geometry, qr, text
 from tagloom.functions.text import blank_to_null
 from tagloom.schema import EXPORT_COLUMNS
+from tagloom.sources.catalog import fill_names
 
 
 def blank_rows(df: DataFrame, keys: list[str], **known: Column | str) -> DataFrame:
@@ -71,6 +72,21 @@ def validated(rows: DataFrame) -> DataFrame:
     )
 
 
+def new_tag_rows(tags: DataFrame, catalog: DataFrame, engine: str = "ocr") -> DataFrame:
+    """Export rows of new tags: ``tags`` has tracker_id, filename, frame_id, x1 to y2, ``texts``,
+    ``mean_color`` (struct b, g, r) and ``qr`` (raw payload). Box, then texts, then what the tag parser
+    adds to blank fields, then QR, then a looked-up name; failing fields are blanked."""
+    keep = ["texts", "mean_color", "qr"]
+    known = box_fields(geometry.box(), F.col("filename"), F.col("frame_id")) | {"tracker_id": F.col("tracker_id")}
+    rows = blank_rows(tags, keep, **known)
+    rows = updated(rows, text_fields(F.col("texts"), F.col("mean_color"), F.col("product_name")))
+    rows = rows.withColumn("_info", text.tag_info(F.col("texts"), engine))
+    fields = [f.name for f in rows.schema["_info"].dataType.fields]
+    rows = updated(rows, {f: F.col("_info")[f] for f in fields}, only_blank=True)
+    rows = with_qr(rows, qr.parse(F.col("qr")))
+    return validated(fill_names(rows, catalog).drop("_info", *keep))
+
+
 def best_rows(rows: DataFrame, order: str) -> DataFrame:
     """Of each tracker's rows the fullest, the first of equally full ones; rows without a tracker all stay.
     Output order is that of each tracker's first row, told by ``order``."""

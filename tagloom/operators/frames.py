@@ -33,6 +33,11 @@ def reference_pixels(pixels: DataFrame, frames: int = 5) -> DataFrame:
     return first.groupBy("video_id", "x", "y").agg(*(F.avg(c).cast("int").alias(c) for c in ("s", "v")))
 
 
+def mean_color(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean b, g and r of each crop's pixels."""
+    return pixels.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("b", "g", "r")))
+
+
 def hsv_limits(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Colour limits from exact percentiles of saturation and value."""
     p = lambda c, q: F.percentile(c, F.lit(q))

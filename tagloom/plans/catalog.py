@@ -440,6 +440,22 @@ for _engine, _check in (("ocr", f"raw_code is not null and {_ean_sql('raw_code')
     )
 
 
+@over("simple_info", _TEXTS, f""", {_price_cte('ocr')}, {_NAME},
+k as (select crop_id, min_by({_CODE}, line_no) as code from src where {_CODE} <> '' and {_ean_sql(_CODE)} group by 1)
+select q.crop_id, p[1] as price_default, p[2] as price_card, p[3] as price_discount, code as barcode, name as product_name from q left join nm using (crop_id) left join k using (crop_id)""")
+def _(df):
+    return _texts(df).select("crop_id", text.simple_info(F.col("texts")).alias("i")).select("crop_id", "i.*")
+
+
+@over("single_fields", _TEXTS, f""", {_price_cte('ocr')},
+k as (select crop_id, min_by({_CODE}, line_no) as code from src where {_CODE} <> '' and {_ean_sql(_CODE)} group by 1),
+x as (select crop_id, string_agg(text, ' ' order by line_no) as name from src where not regexp_matches(text, '[0-9]') group by 1)
+select q.crop_id, p[1] as price, name as product_name, case when q.crop_id%2 = 0 then '4600644110002' else code end as barcode from q left join x using (crop_id) left join k using (crop_id)""")
+def _(df):
+    decoded = F.when(F.col("crop_id") % 2 == 0, "460-0644110002").otherwise("4600644110006")
+    return _texts(df).select("crop_id", text.single_fields(F.col("texts"), decoded).alias("i")).select("crop_id", "i.*")
+
+
 # ---- QR payloads
 
 
@@ -532,6 +548,15 @@ def _(df):
     return export.validated(df)
 
 
+@query("new_tag_rows")
+def _(spark, sf_dir):
+    """Boxes, texts, QR payloads and catalog put together; each part has SQL of its own, and a test holds whole rows."""
+    tags = _texts(fx.view(spark, sf_dir, _TEXTS)).join(fx.view(spark, sf_dir, fx.QR), "crop_id")
+    made = tags.select(F.col("crop_id").alias("tracker_id"), F.lit("cam").alias("filename"), F.col("crop_id").alias("frame_id"), *(F.lit(v).cast("double").alias(c) for v, c in zip((10, 20, 110, 90), nms.BOX)),
+                       "texts", F.struct(*(F.lit(v).alias(c) for v, c in zip((30.0, 150.0, 220.0), "bgr"))).alias("mean_color"), F.col("raw").alias("qr"))
+    return export.new_tag_rows(made, fx.view(spark, sf_dir, fx.CATALOG))
+
+
 @over("best_rows", fx.TRACK_ROWS, """
 , f as (select *, (price_default <> '')::int + (barcode <> '')::int + (product_name <> '')::int as n from src),
 g as (select *, row_number() over (partition by tracker_id order by n desc, arrival) as k, min(arrival) over (partition by tracker_id) as m from f)
@@ -570,6 +595,11 @@ def _(df):
     return frames.reference_pixels(df)
 
 
+@over("mean_color", f"select event_id%50 as crop_id, b, g, r from ({_COLORS}) c", "select crop_id, round(avg(b), 6) + 0.0 as b, round(avg(g), 6) + 0.0 as g, round(avg(r), 6) + 0.0 as r from src group by 1")
+def _(df):
+    return frames.mean_color(df, ["crop_id"]).select("crop_id", *(r6(c, c) for c in "bgr"))
+
+
 @over("color_masks", fx.PIXELS, """
 select video_id, count(*) filter (h between 0 and 180 and s between 0 and 30 and v between 180 and 255) as white,
   count(*) filter ((h between 0 and 8 or h between 172 and 180) and s between 80 and 255 and v between 80 and 255) as red, count(*) filter (h between 22 and 34 and s between 100 and 255 and v between 200 and 255) as yellow from src group by 1""")
