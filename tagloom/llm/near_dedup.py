@@ -173,7 +173,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, sketches: bool, wanted=No
     """``doc_id``, ``n``, ``node`` (class; null for an empty set) and ``data``: band keys, or the set itself."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if wanted is not None:
-        source = source.where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+        source = source.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -333,8 +333,11 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
     # the sets of their members, once
     wanted = spark.sparkContext.broadcast(bytes(_filter_of(found)))  # a fixed size
-    sets = _sets(docs, id_col, text_col, False, wanted).select("node", "data").join(found.select("node", "root", "blocks", "block"), "node")
-    sets = written(sets)
+    sets = _sets(docs, id_col, text_col, False, wanted).select("node", "doc_id", "data").join(found.select("node", F.col("doc_id").alias("rep"), "root", "blocks", "block"), "node")
+    sets = written(sets.where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep"))
+    if not sets.where("doc_id is null").isEmpty():  # each task sends a class of null ids once; one of these is enough
+        sets = written(sets.where("doc_id is not null").unionAll(sets.where("doc_id is null").dropDuplicates(["node"])))
+    sets = sets.drop("doc_id")
 
     # links within blocks; small clusters share units of bounded size
     units = 1 + (sizes.agg(F.sum("items")).first()[0] or 0) // UNIT_SHINGLES

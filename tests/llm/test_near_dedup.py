@@ -84,6 +84,19 @@ def test_odd_tables(spark):
     assert len(got) == 9 and {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1), (2, 2), (None, 0), (None, 1), (None, None)}
 
 
+def test_null_ids_are_linked_as_others(spark):
+    def edited(seed, *places):
+        w = words(seed, 120).split()
+        return " ".join(f"e{i}" if i in places else x for i, x in enumerate(w))
+
+    # 5 and 9 are linked by a text without id only; the last two have no id at all
+    rows = [(5, edited(40, 30)), (None, edited(40)), (9, edited(40, 80)), (None, edited(40)), (None, edited(41)), (None, edited(41, 60)), (7, words(42, 120))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in n.near_duplicates(table).collect()}
+    assert got == {(5, 5), (None, 5), (9, 5), (None, None), (7, 7)}
+    assert sorted((r.doc_id for r in n.deduplicated(table).collect()), key=str) == [5, 7, None]
+
+
 def test_sketches_fill_and_agree_as_sets_do():
     rng = np.random.default_rng(0)
     for size in (1, 2, 7, 100, 3000):
