@@ -1,6 +1,9 @@
+import random
+import textwrap
 from collections import Counter
 
 from tagloom.llm import license_scan as s
+from tagloom.llm.license_texts import COMPLETE
 from tests.llm.helpers import ODD, docs, with_clashes, words
 
 TEXTS = [*ODD, "x\nLicensed under the Apache License, Version 2.0.\ny", "released UNDER the mit-license", words(1, 30) + "\nLicensed under CC BY-NC 4.0.", s.TEMPLATES[4][1], s.TEMPLATES[4][1].replace("copy, modify", "copy,\nmodify"), "License", "Licensed under the"]
@@ -52,3 +55,46 @@ def test_summary(spark):
     assert (rows[0].n_matches, rows[0].license, rows[0].dice) == (2, "cc-by-nc-4.0", 1.0)
     assert (rows[1].n_matches, rows[1].license, rows[1].dice, rows[1].matches) == (0, None, 0.0, "")
     assert s.summary(s.scan_licenses(docs(spark, []))).collect() == []
+
+
+def whole_text(name):
+    return next(text for n, text in COMPLETE if n == name)
+
+
+def test_licences_over_lines_and_within_paragraphs():
+    for name, template in s.TEMPLATES[4:13]:
+        wrapped = textwrap.fill(template, 40)
+        for text in (f"{words(1, 300)}\n{wrapped}\n{words(2, 300)}", f"{words(1, 60)} {template} {words(2, 60)}"):
+            assert [(m[0], m[1]) for m in s.scan_text(text)] == [(name, 1.0)]
+            (_, _, start, end), = s.scan_text(text)
+            assert s.words_of(text[start:end]) == s.words_of(template)
+    apache = textwrap.fill(s.TEMPLATES[1][1], 50)
+    text = f"İ {words(3, 200)}\n{apache}\n{words(4, 200)}. Also released under the MIT license, {words(5, 30)}"
+    assert [(m[0], m[1], text[m[2] : m[2] + 8].lower()) for m in s.scan_text(text)] == [("apache-2.0", 1.0, "licensed"), ("mit", 1.0, "released")]
+
+
+def test_complete_licence_texts():
+    for name, text in COMPLETE:
+        got = s.scan_text(f"Copyright (c) 2020 Someone\n\n{text}")
+        assert [m[0] for m in got] == [name] and got[0][1] > 0.95
+    mit, bsd = whole_text("mit"), whole_text("bsd-2-clause")
+    text = f"{words(1, 400)}\n{mit}\n{words(2, 100)}\n{bsd}\n{mit}\n{words(3, 100)}"
+    got = s.scan_text(text)
+    assert [(m[0], m[1]) for m in got] == [("mit", 1.0), ("bsd-2-clause", 1.0), ("mit", 1.0)]
+
+
+def test_windows_equal_all_windows():
+    """The best window of each begin equals brute force over all windows."""
+    rng = random.Random(5)
+    for name, template in (s.TEMPLATES[6], s.TEMPLATES[7], ("x", "a b a b c a b")):
+        m, w = s.Matcher(((name, template),), 0.8), s.words_of(template)
+        text = [x for _ in range(3) for x in [*(rng.choice(["the", "a", "b", "public"]) for _ in range(12)), *(x for x in w if rng.random() > 0.06)]]
+        grams, found = plain(template), {}
+        for i in range(len(text)):
+            for j in range(i + 2, len(text) + 1):
+                g = Counter(zip(text[i : j - 1], text[i + 1 : j]))
+                d = 2 * (g & grams).total() / (g.total() + grams.total())
+                if d >= 0.8 and (text[i], text[i + 1]) in grams and d > found.get(i, (0,))[0]:
+                    found[i] = (d, (g & grams).total(), i, j)
+        assert sorted(found.values(), key=lambda f: f[2]) == m.windows(text, 0, len(text), 0)
+        assert found
