@@ -723,6 +723,11 @@ def _(df):
     return df.where("cx * 1000000 = floor(cx * 1000000)").select("split", "file", "line_no", labels.label_text(0).alias("line"))
 
 
+@over("label_text_all", fx.LABELS)  # every label; without SQL, whose printf may round otherwise: tests/test_text.py holds it against Python
+def _(df):
+    return df.select("split", "file", "line_no", labels.label_text(0).alias("line"))
+
+
 @over("merged_names", f"select distinct split, case when line_no%2 = 0 then file else 'd/' || file end as file from ({fx.LABELS}) l", """
 , b as (select *, 'tiled_' || split || '_' || regexp_replace(regexp_replace(file, '^.*/', ''), '[.][^.]*$', '') as base from src), k as (select *, row_number() over (partition by base order by split, file) - 1 as k from b)
 select split, file, case when k = 0 then base else base || '_' || k end as name from k""")

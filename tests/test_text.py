@@ -75,3 +75,13 @@ def test_qr(ev, raw, expected):
 def test_barcode_like(ev):
     for value, expected in (("4600644110006", True), ("abc123456789012", True), ("123", False), (None, False), ("12345678901", False)):
         assert ev(text.is_barcode_like(F.col("t")), t=value) is expected
+
+
+def test_label_text_of_the_whole_table(spark, sf_dir):
+    from tagloom.plans import catalog
+    from tagloom.plans import fixtures as fx
+
+    rows = fx.view(spark, sf_dir, fx.LABELS).collect()
+    expected = sorted((r.split, r.file, r.line_no, f"0 {r.cx:.6f} {r.cy:.6f} {r.w:.6f} {r.h:.6f}") for r in rows)
+    got = sorted(tuple(r) for r in catalog.queries()["label_text_all"](spark, sf_dir).collect())
+    assert got == expected and len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
