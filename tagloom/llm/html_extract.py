@@ -2,7 +2,9 @@
 
 First each page's containers are scored: a container is an element that is not boilerplate by its
 tag or class; its score is the text of the blocks below it, less text in links, a little of it lost
-with each step up so that the innermost holder of the article wins over the body. The path of a
+with each step up so that the innermost holder of the article wins over the body. Parts of a container
+are not containers themselves, and their text counts as its own: anything below an article; lists,
+tables, sections and what they hold below a main; elsewhere lists and tables with headings. The path of a
 container is generalised to tags and classes without digits. In Spark the paths of all pages of a
 host vote with their scores. Then each page is extracted again from the elements on the host's
 winning path; a page that lacks the path uses its own best container.
@@ -40,6 +42,9 @@ CLOSES = {
     "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
+#: Parts of what holds them: lists and the like, and tables.
+LISTS = frozenset("ul ol li dir dl dt dd figure figcaption details summary".split())
+TABLES = frozenset("table thead tbody tfoot tr td th".split())
 SKIP_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | RAW
 SKIP_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|"
@@ -154,16 +159,46 @@ class Page:
         close(1)
         flush()
 
+    def containers(self) -> list[int]:
+        """The container (0: none) whose own text each element's text is."""
+        tags = [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
+        headed = set()
+        for k, tag in enumerate(tags):
+            if tag in ("th", "thead"):
+                while k > 0 and tags[k] != "table":
+                    k = self.parents[k]
+                headed.add(k)
+        # rank: 0 elsewhere, 1 below a main, 2 within a part of a main, 3 below an article; table: within a headed one
+        out, rank, table = [0], [0], [False]
+        for k in range(1, len(tags)):
+            tag, up = tags[k], self.parents[k]
+            holder, level, inside = k, rank[up], tag in TABLES and (table[up] if tag != "table" else k in headed)
+            if level == 3:
+                holder = out[up]
+            elif tag == "article":
+                level = 3
+            elif tag == "main" and level == 0:
+                level = 1
+            elif level == 2 or level == 1 and (tag == "section" or tag in LISTS or tag in TABLES):
+                holder, level = out[up], 2
+            elif tag in LISTS or inside:
+                holder = out[up]
+            out.append(holder)
+            rank.append(level)
+            table.append(inside)
+        return out
+
     def scores(self) -> dict[str, float]:
         """Score of each generalised container path: own text counts fully, text further down a little less."""
         out: dict[str, float] = {}
+        container = self.containers()
         for holder, text, linked in self.blocks:
-            worth, k = max(0.0, len(text) - 2.0 * linked), holder
+            worth, k = max(0.0, len(text) - 2.0 * linked), container[holder]
             while k > 0:
                 bonus = 1.2 if self.paths[k].rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
                 out[self.paths[k]] = out.get(self.paths[k], 0.0) + worth * bonus
                 worth *= DECAY
-                k = self.parents[k]
+                k = container[self.parents[k]]
         return out
 
     def text(self, path: str | None) -> str:

@@ -33,6 +33,33 @@ def test_small_pages(page, expected):
     assert h.extract(page, None) == expected
 
 
+_INTRO = "<h1>A title of the page</h1><p>" + "Some words that lead in. " * 8 + "</p>"
+_PARTS = {
+    "list": "<ul>" + "<li>An item of the list with some words in it.</li>" * 60 + "</ul>",
+    "table": "<table><tr><th>Name of it</th></tr>" + "<tr><td>A cell with some words in it.</td></tr>" * 40 + "</table>",
+    "cells": "<table><tbody>" + "<tr><td><div>A cell with some words in it.</div></td></tr>" * 40 + "</tbody></table>",
+    "terms": "<dl>" + "<dt>Term</dt><dd><p>What it means in some more words.</p></dd>" * 40 + "</dl>",
+    "sections": "<section><h2>Part</h2><p>Words of a part that go on for a while.</p></section>" * 40,
+    "body": "<div class='body'>" + "<p>Words of the body that go on for a while.</p>" * 40 + "</div>",
+}
+
+
+@pytest.mark.parametrize("holder, kinds", [("article", list(_PARTS)), ("main", ["list", "table", "cells", "terms", "sections"]), ("div", ["list", "table", "terms"])])
+def test_parts_that_outweigh_the_prose(holder, kinds):
+    for kind in kinds:
+        page = f"<body><nav>Home</nav><{holder} class=x>{_INTRO}{_PARTS[kind]}<p>The end.</p></{holder}><div class=other><p>Something else.</p></div></body>"
+        inner = re.sub(r"<[^>]*>", " ", _INTRO + _PARTS[kind] + "<p>The end.</p>")
+        assert h.extract(page, None).split() == inner.split(), (holder, kind)
+
+
+def test_parts_do_not_win_a_host(spark):
+    heavy = f"<article>{_INTRO}{_PARTS['list'] * 2}</article>"
+    plain = "<article><p>Prose of another page of the host.</p><ul><li>one</li></ul></article>"
+    df = spark.createDataFrame([(i, "http://a.b/x", heavy) for i in range(50)] + [(99, "http://a.b/y", plain)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract_pages(df).collect()}
+    assert got[0].startswith("A title of the page") and got[99] == "Prose of another page of the host.\none"
+
+
 def test_hosts_outvote_a_page(spark):
     story = "".join(f"<p>Paragraph {i} of a story that goes on for a while.</p>" for i in range(8))
     usual = f"<body><div class='story-12'>{story}</div><div class='extra'><p>Read also this</p></div></body>"
