@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -59,6 +59,14 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
 )
 
+#: After a key's BEGIN line: all up to its END line, or of a key that is cut off the base64 that follows.
+_BODY = (
+    r"(?:(?:(?!-----(?:BEGIN|END)\x20)[\s\S]){0,32768}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"""|(?:(?:\s|\\[nrt]|["'+,>#*|])*+(?:(?:Proc-Type|DEK-Info):[^\n\\]*+|[A-Za-z0-9+/]{32,}+={0,2}))++(?:(?:\s|\\[nrt]|["'+,>#*|])*+[A-Za-z0-9+/]{1,31}+={0,2}(?=[\x20\t\r"']*+(?:\n|\\|\Z)))?)?"""
+)
+#: What scans look for: ``RULES``, which the SQL knows, with whole private keys.
+SCAN_RULES = tuple(replace(r, pattern=r.pattern + _BODY) if r.kind == "pem" else r for r in RULES)
+
 
 def trigram_query(pattern: str) -> Query:
     """The Boolean trigram query that every match of ``pattern`` satisfies, in lower case."""
@@ -171,7 +179,7 @@ class BlockIndex:
         return out
 
 
-def scan_texts(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[str, int, int]]]:
+def scan_texts(texts: list[str], rules: tuple[Rule, ...] = SCAN_RULES) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end; code points) of each text by start, then the order of ``rules``."""
     parts, wanted, lookup = _plan(rules)
     index = BlockIndex(texts, wanted, lookup)
@@ -188,7 +196,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = SCAN_RULES) -> DataFrame:
     """One row per document: its id and ``spans``, all matches of ``rules``. Map-side only."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -205,7 +213,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = SCAN_RULES) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mask``; overlapping spans are joined first."""
     at, schema = docs.columns.index(text_col), docs.schema
 
