@@ -8,6 +8,8 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 256
@@ -54,13 +56,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (local tests) a folder of this process is set for it.
+    Only where the master is local (tests) may that setting be absent: a folder of this process then serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"/tmp/tagloom-{os.getpid()}/shared"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tagloom-{uuid4().hex}"
 
 
@@ -77,3 +82,18 @@ def written(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: file sizes for a scan. Used only to choose partition counts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, out: str, by: tuple[str, ...] = (), per: int = 1024) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over rows of the same ``by`` with a smaller ``order``, a whole number
+    from 0 that is distinct within ``by``.
+
+    Summed are stretches of ``per`` numbers and rows within each, so a task sorts the stretches of a key or one
+    stretch, never all rows of a key. ``df`` is read twice and should be a table.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / per))
+    earlier = lambda window: F.coalesce(F.sum(value).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(*by, "_stretch").agg(F.sum(value).alias(value))
+    before = sums.select(*by, "_stretch", earlier(W.partitionBy(*by).orderBy("_stretch")).alias("_before"))
+    inside = cut.withColumn("_inside", earlier(W.partitionBy(*by, "_stretch").orderBy(order)))
+    return inside.join(before, [*by, "_stretch"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_stretch")
