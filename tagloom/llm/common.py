@@ -94,6 +94,13 @@ def prefix_sums(df: DataFrame, order: str, value: str, out: str, by: tuple[str,
     cut = df.withColumn("_stretch", F.floor(F.col(order) / per))
     earlier = lambda window: F.coalesce(F.sum(value).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = cut.groupBy(*by, "_stretch").agg(F.sum(value).alias(value))
-    before = sums.select(*by, "_stretch", earlier(W.partitionBy(*by).orderBy("_stretch")).alias("_before"))
-    inside = cut.withColumn("_inside", earlier(W.partitionBy(*by, "_stretch").orderBy(order)))
-    return inside.join(before, [*by, "_stretch"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_stretch")
+    before = sums.select(*by, "_stretch", earlier(W.partitionBy(*by).orderBy("_stretch")).alias("_of_stretches"))
+    inside = cut.withColumn("_of_rows", earlier(W.partitionBy(*by, "_stretch").orderBy(order)))
+    return inside.join(before, [*by, "_stretch"]).withColumn(out, F.col("_of_stretches") + F.col("_of_rows")).drop("_of_stretches", "_of_rows", "_stretch")
+
+
+def numbered_out(df: DataFrame, n: str, out: str, per: int = 1 << 14) -> DataFrame:
+    """Each row of ``df`` as often as its ``n`` says, with ``out`` from 0 to n - 1, dealt to tasks in stretches of ``per``."""
+    cut = df.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / per))))
+    low = F.col("_stretch") * per
+    return cut.repartition("_stretch", *df.columns).withColumn(out, F.explode(F.sequence(low, F.least(low + per, F.col(n)) - 1))).drop("_stretch")
