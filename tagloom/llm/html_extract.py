@@ -1,19 +1,24 @@
 """Main text of web pages by consensus host paths.
 
-First each page's containers are scored: a container is an element that is not boilerplate by its
-tag or class; its score is the text of the blocks below it, less text in links, a little of it lost
-with each step up so that the innermost holder of the article wins over the body. Parts of a container
-are not containers themselves, and their text counts as its own: anything below an article; lists,
-tables, sections and what they hold below a main; elsewhere lists and tables with headings. The path of a
-container is generalised to tags and classes without digits. In Spark the paths of all pages of a
-host vote with their scores. Then each page is extracted again from the elements on the host's
-winning path; a page that lacks the path uses its own best container.
+First each page's containers are scored: a container is an element that is not boilerplate; its score is
+the text of the blocks below it, less text in links, a little of it lost with each step up so that the
+innermost holder of the article wins over the body. Parts of a container are not containers themselves,
+and their text counts as its own: anything below an article; lists, tables, sections and what they hold
+below a main; elsewhere lists and tables with headings. The path of a container is generalised to tags and
+classes without digits, and known by a hash. In Spark the paths of all pages of a host vote with their
+scores. Then each page is extracted again from the elements on the host's winning path; a page that lacks
+the path uses its own best container.
+
+Boilerplate are elements by tag or role, and those whose class or id consists of words for boilerplate
+and neutral ones only ("ad", "site-footer", "related-posts"). If other words are among them
+("related-work", "acme-sidebar"), names are no more than a suspicion: the text decides, by its share in links.
 
 Parsing is one pass of a tokenising regex with an explicit stack: unclosed paragraphs, cut-off pages
-and stray end tags are tolerated, and memory follows the page's size.
+and stray end tags are tolerated. Elements point to their parents, and scores are summed from the leaves
+up, so time and memory follow the page's size however deep it is nested.
 
 Defined results: null, empty or text-free html gives an empty text; pages with a null or hostless
-url vote together as one host; equal votes go to the smaller path; repeated rows count and vote each;
+url vote together as one host; equal votes go to the smaller hash; repeated rows count and vote each;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -21,9 +26,11 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,7 +39,7 @@ from tagloom.llm.common import bounded, slices, written
 
 #: Fixed values of HTML: elements without content, with raw text, and the ones that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select option svg math canvas object video audio title xmp noframes".split())
+RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,33 +49,71 @@ CLOSES = {
     "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
+_LIST_HOLDERS = frozenset(["ul", "ol", "dl", "table"])
+#: Elements whose text is their holder's; elements in foreign markup that hold text of pages.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
+_TEXT_HOLDERS = frozenset("foreignobject desc title annotation-xml".split())
 #: Parts of what holds them: lists and the like, and tables.
 LISTS = frozenset("ul ol li dir dl dt dd figure figcaption details summary".split())
 TABLES = frozenset("table thead tbody tfoot tr td th".split())
-SKIP_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | RAW
-SKIP_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|"
-    r"sidebar|side|footer|header|masthead|comments?|respond|replies|disqus|related|recommend\w*|share|sharing|social|pagination|pager|widget|login|signup|search)(?:$|[\s_-])",
-    re.I,
+#: Elements without article text, which may lack an end tag; and markup of its own, which ends where a block begins.
+EMBEDDED = frozenset("noscript template iframe select option optgroup datalist canvas object video audio map xmp noframes".split())
+FOREIGN = frozenset(["svg", "math"])
+SKIP_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | RAW | EMBEDDED | FOREIGN
+#: Words in classes and ids: of boilerplate, and neutral ones that may stand beside them.
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion promoted banner banners cookie cookies consent "
+    "gdpr notice notices popup modal newsletter subscribe subscription nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar side footer header "
+    "masthead comment comments respond reply replies disqus related recommend recommended recommendation recommendations share sharing social pagination pager "
+    "widget widgets login signup signin search".split()
 )
+NEUTRAL = frozenset(
+    "box boxes area areas bar bars block blocks wrap wrapper container inner outer body section sections list lists item items link links button buttons btn "
+    "icon icons form field input post posts article articles story stories page pages site main primary secondary top bottom left right first last global local "
+    "mobile desktop sticky fixed overlay message panel column col row grid group holder title heading text label slot unit zone thread count meta info tools tool "
+    "toolbar the and of for to by my our more also read new js large small medium dark light".split()
+)
+_NAME_WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Share of text in links from which a suspected element is boilerplate.
+LINK_SHARE = 0.4
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _DIGITS = re.compile(r"\d+")
 DECAY = 0.75
+_NOT_P = BLOCK - {"p"}
+
+
+def name_says(names: str) -> int:
+    """What classes and ids say of an element: 2 boilerplate, 1 perhaps, 0 nothing."""
+    said = 0
+    for name in _CAMEL.sub("-", names).lower().split():
+        words = _NAME_WORDS.findall(name)
+        if not BOILERPLATE.isdisjoint(words):  # "comment-content" is of a comment, "content-sidebar" of a whole layout
+            known = all(w in BOILERPLATE or w in NEUTRAL or w == "content" and words[0] in BOILERPLATE for w in words)
+            said = max(said, 2 if known else 1)
+    return said
+
+
+def _step(parent: int, tag: str, classes: str) -> int:
+    """The hash of a path: its parent's, and the tag and classes without digits of its last element."""
+    kinds = "".join(f".{_DIGITS.sub('', c.lower())}" for c in sorted(set(classes.split())))
+    return xxhash.xxh3_64_intdigest(f"{parent}>{tag}{kinds}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Page:
-    """Blocks of text in page order, each with its chain of containers (None: boilerplate) and link text length."""
+    """Blocks of text in page order, each with its innermost container and the length of its text in links."""
 
     def __init__(self, page: str):
-        self.paths = [""]  # generalised path of each element
-        self.parents = [-1]
-        self.blocks: list[tuple[int, str, int]] = []  # innermost container, text, characters in links
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, skipped
+        self.tags, self.paths, self.parents = [""], [0], [-1]  # of each element; paths are hashes
+        blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, innermost suspect
+        suspects: list[list[int]] = [[-1, 0, 0]]  # the suspect around it, characters, of these in links
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, element, skipped, suspect
+        open_: Counter = Counter()
         parts: list[str] = []
-        linked, links = 0, 0
+        linked, links, lower, ends = 0, 0, None, {}
 
         def flush() -> None:
             nonlocal linked
@@ -76,10 +121,13 @@ class Page:
                 text = _WHITE.sub(" ", htmllib.unescape("".join(parts))).replace("\xa0", " ")
                 text = " ".join(text.split())
                 if text and not stack[-1][2]:
-                    holder = next(e for t, e, _ in reversed(stack) if t in BLOCK or not t)
-                    while self.paths[holder].rpartition(">")[2].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and self.parents[holder] >= 0:
+                    holder = stack[-1][1]
+                    while self.tags[holder] in _TEXT_TAGS and self.parents[holder] >= 0:
                         holder = self.parents[holder]
-                    self.blocks.append((holder, text, linked))
+                    at = stack[-1][3]
+                    blocks.append((holder, text, linked, at))
+                    suspects[at][1] += len(text)
+                    suspects[at][2] += min(linked, len(text))
                 parts.clear()
             linked = 0
 
@@ -89,8 +137,27 @@ class Page:
                 if stack[-1][0] in BLOCK or stack[-1][2]:
                     flush()
                 links -= stack[-1][0] == "a"
+                open_[stack[-1][0]] -= 1
                 stack.pop()
 
+        def nearest(names, stops) -> int:
+            """Place of the innermost open element of ``names`` that no element of ``stops`` is within; 0: none."""
+            if any(open_[n] for n in names):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in names:
+                        return k
+                    if stack[k][0] in stops:
+                        break
+            return 0
+
+        def ended(tag: str) -> bool:
+            """Whether an end tag of this name is still to come."""
+            nonlocal lower
+            if tag not in ends:
+                lower = page.lower() if lower is None else lower
+                ends[tag] = lower.rfind(f"</{tag}")
+            return ends[tag] >= at
+
         at, size = 0, len(page)
         while at < size:
             m = _TOKEN.search(page, at)
@@ -107,10 +174,8 @@ class Page:
                     parts.append(htmllib.escape(m.group()[9:].removesuffix("]]>")))
                 continue
             if m.group(1):  # an end tag closes the nearest open element of its name, if any
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
+                if k := nearest((tag,), ()):
+                    close(k)
                 if tag in BLOCK:
                     flush()
                 continue
@@ -122,47 +187,54 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+                if k := nearest(FOREIGN, _TEXT_HOLDERS):  # a block ends markup of another kind
+                    close(k)
+                if k := nearest(("p",), _NOT_P):  # and an open paragraph
+                    close(k)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
-                        break
-            attrs = {a.lower(): v or w or x for a, v, w, x in _ATTR.findall(m.group(3))} if m.group(3) else {}
-            skipped = stack[-1][2] or tag in SKIP_TAGS or ("hidden" in attrs) or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLE
-            names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-            if names and not skipped and tag not in ("body", "html", "article", "main"):
-                skipped = bool(SKIP_CLASS.search(names))
+                if k := nearest(CLOSES[tag], _LIST_HOLDERS):
+                    close(k)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
                 continue
-            if m.group(3).endswith("/") and tag not in BLOCK:
+            if m.group(3).endswith("/") and tag not in BLOCK or tag in EMBEDDED and not ended(tag):
                 continue
+            attrs = {a.lower(): v or w or x for a, v, w, x in _ATTR.findall(m.group(3))} if m.group(3) else {}
+            skipped = stack[-1][2] or tag in SKIP_TAGS or ("hidden" in attrs) or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLE
+            suspect = stack[-1][3]
+            names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+            if names and not skipped and tag not in ("body", "html", "article", "main"):
+                said = name_says(names)
+                skipped = said == 2
+                if said == 1:
+                    flush()
+                    suspects.append([suspect, 0, 0])
+                    suspect = len(suspects) - 1
             if skipped and not stack[-1][2]:
                 flush()
             if tag in BLOCK and not skipped:
-                kinds = "".join(f".{_DIGITS.sub('', c.lower())}" for c in sorted(set(attrs.get("class", "").split())))
                 self.parents.append(stack[-1][1])
-                self.paths.append(f"{self.paths[stack[-1][1]]}>{tag}{kinds}")
-                stack.append((tag, len(self.paths) - 1, False))
+                self.paths.append(_step(self.paths[stack[-1][1]], tag, attrs.get("class", "")))
+                self.tags.append(tag)
+                stack.append((tag, len(self.paths) - 1, False, suspect))
             else:
-                stack.append((tag, stack[-1][1], skipped))
+                stack.append((tag, stack[-1][1], skipped, suspect))
+            open_[tag] += 1
             links += tag == "a"
         close(1)
         flush()
+        for around, n, in_links in reversed(suspects[1:]):
+            suspects[around][1] += n
+            suspects[around][2] += in_links
+        out = [False]
+        for around, n, in_links in suspects[1:]:
+            out.append(out[around] or in_links >= LINK_SHARE * n)
+        self.blocks = [(holder, text, n) for holder, text, n, at in blocks if not out[at]]
 
     def containers(self) -> list[int]:
         """The container (0: none) whose own text each element's text is."""
-        tags = [p.rpartition(">")[2].partition(".")[0] for p in self.paths]
-        headed = set()
+        tags, headed = self.tags, set()
         for k, tag in enumerate(tags):
             if tag in ("th", "thead"):
                 while k > 0 and tags[k] != "table":
@@ -188,32 +260,32 @@ class Page:
             table.append(inside)
         return out
 
-    def scores(self) -> dict[str, float]:
+    def scores(self) -> dict[int, float]:
         """Score of each generalised container path: own text counts fully, text further down a little less."""
-        out: dict[str, float] = {}
-        container = self.containers()
+        container, worth = self.containers(), [0.0] * len(self.paths)
         for holder, text, linked in self.blocks:
-            worth, k = max(0.0, len(text) - 2.0 * linked), container[holder]
-            while k > 0:
-                bonus = 1.2 if self.paths[k].rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
-                out[self.paths[k]] = out.get(self.paths[k], 0.0) + worth * bonus
-                worth *= DECAY
-                k = container[self.parents[k]]
+            worth[container[holder]] += max(0.0, len(text) - 2.0 * linked)
+        out: dict[int, float] = {}
+        for k in range(len(worth) - 1, 0, -1):  # what is inside comes after its holder
+            if worth[k]:
+                bonus = 1.2 if self.tags[k] in ("article", "main") else 1.0
+                out[self.paths[k]] = out.get(self.paths[k], 0.0) + worth[k] * bonus
+                worth[container[self.parents[k]]] += DECAY * worth[k]
         return out
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """Blocks at or below elements on ``path``; all blocks for None."""
-        inside = [path is None or p == path for p in self.paths]
+        inside = [path is None or (k > 0 and p == path) for k, p in enumerate(self.paths)]
         for k in range(1, len(self.paths)):
             inside[k] = inside[k] or inside[self.parents[k]]
         return "\n".join(text for holder, text, _ in self.blocks if inside[holder])
 
 
-def best_path(scores: dict[str, float]) -> str | None:
+def best_path(scores: dict[int, float]) -> int | None:
     return min(scores, key=lambda p: (-scores[p], p), default=None)
 
 
-def extract(page: str, winner: str | None) -> str:
+def extract(page: str, winner: int | None) -> str:
     parsed = Page(page)
     if winner is not None and (got := parsed.text(winner)):
         return got
@@ -231,15 +303,15 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hosts, texts in slices(batches):
-            total: dict[tuple[str, str], int] = {}
+            total: dict[tuple[str, int], int] = {}
             for host, text in zip(hosts, texts):
                 scores = Page(text or "").scores()
                 top = max(scores.values(), default=0.0) or 1.0
                 for path, score in scores.items():  # a page's votes are shares of its best score, so long pages count like others
                     total[host, path] = total.get((host, path), 0) + round(1e6 * score / top)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(total.values(), pa.int64())], ["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.int64()), pa.array(total.values(), pa.int64())], ["host", "path", "votes"])
 
-    votes = bounded(source).mapInArrow(vote, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = bounded(source).mapInArrow(vote, "host string, path bigint, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("path").alias("path"))).alias("best"))
     return best.select("host", F.col("best.path").alias("path"))
 

@@ -1,12 +1,13 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Candidate rows are packed into blocks, each kept as postings: for every term (component) the rows
-that have it and their integer weights. Queries are packed into blocks too, and every pair of a query
-block and a candidate block is one unit of work, formed by an equi-join on lanes. In it, each
-query scatters its weights times the postings of its terms into a dense array with one score per row
-of the block; a partition keeps the k best, and these few rows per query and block are merged.
+that have it and their integer weights. Blocks are dealt to lanes; a lane is what one task holds. Queries
+are packed into full blocks of their own, and each is sent once to every lane. There each query scatters
+its weights times the postings of its terms into a dense array with one score per row of a block, block
+after block, and the lane keeps its k best; these few rows per query and lane are merged.
 
-The work is that of all queries against all rows; memory is a block of each.
+The work is that of all queries against all rows; what is sent is the candidates once and the queries once
+per lane. Memory is a lane's blocks, in the narrowest type, and one block of postings.
 
 Defined results: rows whose vector is null, or holds a null or non-finite component, and rows with a
 null id take no part; an absent component counts 0, so lengths may differ; a query's own row is left
@@ -28,7 +29,10 @@ from pyspark.sql.window import Window as W
 
 from tagloom.llm.common import bounded, estimated_bytes, written
 
-ROWS = 8192
+#: Rows of a block of candidates and of queries; bytes of a lane's blocks.
+ROWS, QUERY_ROWS, LANE_BYTES = 8192, 2048, 256 << 20
+#: A row's place is its block's number times this, plus its number there.
+PLACES = 8192
 SCALE = 256.0
 #: Sums below this are exact in float64.
 EXACT = float(1 << 53)
@@ -99,11 +103,16 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (whole(a) if a.size else a.astype(object)), (whole(b) if b.size else b.astype(object))
 
 
+_KINDS = {"block": pa.int64(), "n": pa.int64(), "width": pa.int32(), "kind": pa.string(), "ids": pa.binary(), "weights": pa.binary(), "places": pa.binary(), "query": pa.bool_()}
 _BLOCK = "block bigint, n bigint, width int, kind string, ids binary, weights binary, places binary, query boolean"
 
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS.values())], list(_KINDS))
+
+
 def _blocks(vectors: DataFrame, id_col: str, vector_col: str, every: int) -> DataFrame:
-    """Packed rows; each candidate block is followed by the block of its queries."""
+    """Packed rows; each candidate block is followed by its queries. ``places``: number of each row, distinct in the table."""
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     source = source.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     parts = max(1, min(100_000, estimated_bytes(vectors) // (ROWS * 256)))
@@ -112,17 +121,17 @@ def _blocks(vectors: DataFrame, id_col: str, vector_col: str, every: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         rows: list[np.ndarray] = []
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 20
 
         def packed() -> pa.RecordBatch:
             chosen = [i for i, x in enumerate(ids) if x % every == 0]
             out = []
             for at, is_query in ((range(len(ids)), False), (chosen, True)):
-                raw, width, kind = _pack([rows[i] for i in at])
-                out.append((block, len(at), width, kind, np.array([ids[i] for i in at], "<i8").tobytes(), raw, np.array(list(at), "<i8").tobytes(), is_query))
-            names = [c.split()[0] for c in _BLOCK.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                if at:
+                    raw, width, kind = _pack([rows[i] for i in at])
+                    places = np.array(list(at), "<i8") + block * PLACES
+                    out.append((block, len(at), width, kind, np.array([ids[i] for i in at], "<i8").tobytes(), raw, places.tobytes(), is_query))
+            return _packed(out)
 
         for batch in batches:
             values, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
@@ -141,26 +150,66 @@ def _blocks(vectors: DataFrame, id_col: str, vector_col: str, every: int) -> Dat
     return bounded(source).mapInArrow(run, _BLOCK)
 
 
+def _full_queries(blocks: DataFrame, some: int) -> DataFrame:
+    """The ``some`` queries of all candidate blocks, packed again into full blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, places, block = [], [], [], TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids += np.frombuffer(r["ids"], "<i8").tolist()
+                places += np.frombuffer(r["places"], "<i8").tolist()
+                rows += list(_unpack(r["weights"], r["width"], r["kind"], r["n"]).astype(np.float64))
+                while len(ids) >= QUERY_ROWS:
+                    yield _packed([_query_block(block, ids[:QUERY_ROWS], rows[:QUERY_ROWS], places[:QUERY_ROWS])])
+                    ids, rows, places, block = ids[QUERY_ROWS:], rows[QUERY_ROWS:], places[QUERY_ROWS:], block + 1
+        if ids:
+            yield _packed([_query_block(block, ids, rows, places)])
+
+    return bounded(blocks.where("query").coalesce(max(1, some // (8 * QUERY_ROWS)))).mapInArrow(run, _BLOCK)
+
+
+def _query_block(block: int, ids: list, rows: list, places: list) -> tuple:
+    raw, width, kind = _pack(rows)
+    return block, len(ids), width, kind, np.array(ids, "<i8").tobytes(), raw, np.array(places, "<i8").tobytes(), True
+
+
+def _lane_best(q: dict, candidates: list[dict], k: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """Places and ids of a query block's rows, and the (id, score) of each one's ``k`` best in a lane."""
+    ids, places = np.frombuffer(q["ids"], "<i8"), np.frombuffer(q["places"], "<i8")
+    weights = _unpack(q["weights"], q["width"], q["kind"], q["n"])
+    top: list[list[tuple[int, int]]] = [[] for _ in ids]
+    for r in candidates:
+        a, b = _exact(weights, _unpack(r["weights"], r["width"], r["kind"], r["n"]))
+        own = np.where(places // PLACES == r["block"], places % PLACES, -1)
+        for i, got in enumerate(search_block(a, own, b, np.frombuffer(r["ids"], "<i8"), k)):
+            top[i] = sorted(top[i] + got, key=lambda x: (-x[1], x[0]))[:k] if top[i] else got
+    return places, ids, top
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` for the rows whose id ``every`` divides."""
     spark = vectors.sparkSession
     blocks = written(_blocks(vectors, id_col, vector_col, every))
-    queries = blocks.where("query and n > 0").select(F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("n", "width", "kind", "ids", "weights", "places")))
-    # candidate blocks are dealt out to lanes and every query block goes to each lane: an equi-join by lane forms each pair once
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = blocks.where("not query").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    sent = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    work = candidates.join(sent, "lane").repartition(lanes, "block", "q_block")
+    size = blocks.agg(F.sum(F.when(F.col("query"), F.col("n"))), F.sum(F.when(~F.col("query"), F.octet_length("weights"))), F.sum((~F.col("query")).cast("long"))).first()
+    lanes = max(1, -(-(size[1] or 0) // LANE_BYTES), min(size[2] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    queries = written(_full_queries(blocks, size[0] or 0)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    candidates = blocks.where("not query").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    # a lane's candidates come before the queries
+    work = candidates.unionByName(queries).repartitionById(lanes, "lane").sortWithinPartitions("lane", "query", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        lane = None
         for batch in batches:
             for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                a, b = _exact(_unpack(r["q_weights"], r["q_width"], r["q_kind"], r["q_n"]), _unpack(r["weights"], r["width"], r["kind"], r["n"]))
-                own = np.frombuffer(r["q_places"], "<i8") if r["block"] == r["q_block"] else np.full(len(q_ids), -1)
-                got = search_block(a, own, b, ids, k)
-                row = np.arange(len(q_ids)) + (r["q_block"] << 14)
-                flat = [(int(n), int(q), v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for n, q, x in zip(row, q_ids, got) for v, s in x]
+                if r["lane"] != lane:
+                    held, lane = [], r["lane"]
+                if not r["query"]:
+                    held.append(r)
+                    continue
+                places, ids, top = _lane_best(r, held, k)
+                flat = [(int(n), int(q), v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for n, q, x in zip(places, ids, top) for v, s in x]
                 if flat:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], ["row", "query_id", "vec_id", "score"])
 

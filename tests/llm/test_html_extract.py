@@ -1,5 +1,6 @@
 import html as htmllib
 import re
+import tracemalloc
 
 import pytest
 
@@ -72,6 +73,36 @@ def test_hosts_outvote_a_page(spark):
     assert h.extract_pages(df.union(df)).count() == 16
 
 
+@pytest.mark.parametrize("inside", [
+    "<svg/>", '<svg width="1" />', "<datalist><option>a<option>b</datalist>", "<canvas>", "<script>x</script foo>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<svg><path d='1'>", "<noscript><img>no</noscript>",
+    "<select><option>no<option>no</select>", "<iframe src=x></iframe>", "<object><object>no</object>no</object>", "<video>", "<style>p{}</style >", "<textarea>no</textarea>", "<math><mi>no</mi></math>", "<template><p>no</p></template>",
+])
+def test_embedded_markup_loses_no_text(inside):
+    assert h.extract(f"<article><p>Before it.</p>{inside}<p>After it.</p></article>", None) == "Before it.\nAfter it."
+
+
+@pytest.mark.parametrize("name", ["class='related-work'", "class='side-effects'", "class='share-price'", "id='search-algorithms'", "class='cookie-recipes'", "id=navigation-by-stars", "class='content-sidebar-wrap'", "class='with-sidebar'"])
+def test_names_alone_do_not_drop_sections(name):
+    page = f"<article><p>Before it.</p><section {name}><h2>Part</h2><p>Prose of a part, with <a href=x>one</a> link among many words.</p></section></article>"
+    assert h.extract(page, None) == "Before it.\nPart\nProse of a part, with one link among many words."
+
+
+@pytest.mark.parametrize("name", ["class='ad'", "class='site-footer'", "class='relatedPosts'", "id='comments'", "class=comment-content", "class='x cookie-consent'", "class='acme-sidebar'", "class='my-related-stuff'"])
+def test_boilerplate_within_articles(name):
+    links = " ".join(f"<a href={i}>Another page</a>" for i in range(5))
+    assert h.extract(f"<article><p>Before it.</p><div {name}><p>{links}</p></div><p>After it.</p></article>", None) == "Before it.\nAfter it."
+
+
+def test_deep_nesting_is_linear():
+    deep = "".join(f"<div class=c{i}>t{i} " for i in range(50_000))
+    tracemalloc.start()
+    page = h.Page(deep)
+    scores = page.scores()
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and len(page.blocks) == 50_000 and len(scores) > 10_000
+    tracemalloc.stop()
+    assert h.extract("<b>" * 20_000 + "<div>x</div>" * 20_000 + "</i>" * 20_000, None).count("x") == 20_000
+
+
 def test_long_page_is_linear():
     text = h.extract("<article>" + "<p>word</p>" * 50_000, None)
     assert text == "\n".join(["word"] * 50_000)
