@@ -67,7 +67,11 @@ def target_confidence(counts: DataFrame, base: float = 0.5, low_limit: float = 0
 
 
 def smoothed(targets: DataFrame, base: float = 0.5, keep: float = 0.7) -> DataFrame:
-    """Final confidence of each video: targets in frame order, each moving it by ``1 - keep``."""
-    item = F.collect_list(F.struct("frame_id", "target"))
-    ordered = targets.where("target is not null").groupBy("video_id").agg(F.array_sort(item).alias("_t"))
-    return ordered.select("video_id", F.size("_t").alias("steps"), F.aggregate("_t", F.lit(base), lambda a, t: a * keep + t["target"] * (1 - keep)).alias("confidence"))
+    """Final confidence of each video: targets in frame order, each moving it by ``1 - keep``.
+
+    The fold is linear, so it is a sum of targets with weights that fall with the frames after them.
+    """
+    after = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("frame_id"))) - 1
+    weighted = targets.where("target is not null").withColumn("_w", F.pow(F.lit(keep), after))
+    last = F.lit(base) * F.pow(F.lit(keep), F.count("*")) + F.sum(F.col("target") * (1 - keep) * F.col("_w"))
+    return weighted.groupBy("video_id").agg(F.count("*").cast("int").alias("steps"), last.alias("confidence"))

@@ -89,19 +89,29 @@ def class_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.where("cls is not null").groupBy(*keys, "cls").agg(F.count("*").alias("n"))
 
 
+#: Stretches of the number line for each doubling of a value.
+STRETCHES = 64
+
+
 def index_quantiles(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """Least, middle, 90 % and largest by position: the values at n // 2 and int(0.9 n) of the sorted column.
 
-    Values are counted first; positions come from the running count of distinct values, so no group is collected.
+    Values are counted first, and counts summed by stretches of the number line that rise with the value. Running
+    sums of the stretches, which are few, tell where each position is; only those stretches are then sorted.
     """
-    counts = df.select(*keys, value.alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    placed = counts.withColumn("upto", F.sum("k").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("v")))
-    group = placed.groupBy(*keys)
-    return group.agg(
-        F.max("n").alias("n"), F.min("v").alias(f"min_{name}"), at(F.floor(F.col("n") / 2)).alias(f"median_{name}"),
-        at(F.floor(F.col("n") * F.lit(0.9))).alias(f"p90_{name}"), F.max("v").alias(f"max_{name}"),
+    counts = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    counts = counts.withColumn("s", F.when(F.col("v") == 0, F.lit(0.0)).otherwise(F.signum("v") * (F.floor(F.log2(F.abs("v")) * STRETCHES) + (1 << 20))))
+    of_key, rising = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)) for _ in range(2))
+    before = F.sum("k").over(rising.orderBy("s").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")
+    sums = counts.groupBy(*keys, "s").agg(F.sum("k").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
+    sums = sums.withColumn("before", before).withColumn("n", F.sum("k").over(of_key)).withColumn("low", F.min("low").over(of_key)).withColumn("high", F.max("high").over(of_key))
+    places = F.array(*(F.struct(F.lit(c).alias("what"), F.floor(at).alias("at")) for c, at in (("median", F.col("n") / 2), ("p90", F.col("n") * F.lit(0.9)))))
+    asked = sums.withColumn("place", F.explode(places)).where("place.at >= before and place.at < before + k").select(*keys, "s", "before", "n", "low", "high", "place.*")
+    within = counts.join(asked, [*keys, "s"])
+    upto = F.col("before") + F.sum("k").over(W.partitionBy(*keys, "s", "what").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    at = lambda what: F.min(F.when((F.col("what") == what) & (F.col("upto") > F.col("at")), F.col("v")))
+    return within.withColumn("upto", upto).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.min("low").alias(f"min_{name}"), at("median").alias(f"median_{name}"), at("p90").alias(f"p90_{name}"), F.max("high").alias(f"max_{name}"),
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tagloom import config
 from tagloom.functions.geometry import boosted
 from tagloom.operators.assignment import best_assignment
+from tagloom.operators.frames import target_confidence
 from tagloom.operators.nms import merge_sources, suppress
 
 EPS = 1e-6
@@ -207,7 +208,8 @@ def cascade(detections: DataFrame, frames: DataFrame, settings: config.Settings
     Columns as in ``OUT``, and ``ran_model``."""
     keys = ["video_id", "frame_id"]
     columns = ["x1", "y1", "x2", "y2", "conf"]
-    base = detections.select(*keys, "det_ord", *columns, "source")
+    # corners are cut to whole pixels before boxes are merged
+    base = detections.select(*keys, "det_ord", *(F.col(c).cast("long").cast("double").alias(c) for c in columns[:4]), "conf", "source")
     full = merge_sources(base, keys, settings.cascade.merge_iou).select(*keys, F.col("rank").alias("det_ord"), *columns, F.when(F.col("source") == "yolo", "yolo").otherwise("color").alias("tag_type"), F.lit(True).alias("full"))
     alone = suppress(base.where("source <> 'yolo'"), keys, settings.cascade.merge_iou)
     from pyspark.sql.window import Window
@@ -235,6 +237,15 @@ def cascade(detections: DataFrame, frames: DataFrame, settings: config.Settings
     return _ordered(both, frames, [*columns, "tag_type", "full"]).mapInPandas(run, f"{OUT}, ran_model boolean")
 
 
+def aimed_confidence(tracks: DataFrame, frames: DataFrame, **limits: float) -> DataFrame:
+    """Per frame of the pipeline the number of boxes and known tracks, its median over the last frames, and the
+    confidence that the detector should aim at (``target_confidence``); ``smoothed`` folds them."""
+    seen = F.count_if(F.col("matched") | F.col("is_new")) + F.count_if(~F.col("is_new"))
+    counts = tracks.groupBy("video_id", "frame_id").agg(seen.alias("n"))
+    every = frames.select("video_id", "frame_id").distinct().join(counts, ["video_id", "frame_id"], "left").fillna(0, ["n"])
+    return target_confidence(every, **limits)
+
+
 def counters(tracks: DataFrame) -> DataFrame:
     """Per video: tracked hits, new tracks, and tracks active at the end."""
     last = tracks.groupBy("video_id").agg(F.max("frame_id").alias("_last"))

@@ -11,13 +11,14 @@ def read(spark: SparkSession, path: str, encoding: str = "windows-1251") -> Data
 
     Spark's reader takes few encodings, so bytes are read as Latin-1, which keeps each as one character,
     and the upper half is then translated to the single-byte ``encoding``; bytes that it lacks become
-    replacement characters.
+    replacement characters. Row numbers order rows by file, part of the file, and place there.
     """
     raw = spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True, schema="fullname string, code string", enforceSchema=True)
     upper = bytes(range(128, 256))
     there, meant = upper.decode("latin-1"), "".join(bytes([b]).decode(encoding, "replace") for b in upper)
     columns = [F.translate(c, there, meant).alias(c) for c in ("fullname", "code")]
-    return raw.select(F.monotonically_increasing_id().alias("row_no"), *columns)
+    row_no = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(row_no.alias("row_no"), *columns)
 
 
 def entries(catalog: DataFrame) -> DataFrame:
@@ -33,16 +34,15 @@ def _padded(code: Column) -> Column:
 def lookup(rows: DataFrame, catalog: DataFrame, code: str = "code", name: str = "fullname") -> DataFrame:
     """``rows`` with the catalog's name for a code: as it is, without leading zeros, or padded to 13.
 
-    Each row asks for its three forms in one pass over the catalog: forms are exploded and the best hit
-    comes back by priority, so the catalog is joined once and chosen to be broadcast only by its size.
+    Only distinct codes are looked up: each asks for its three forms and takes the first that is there. The
+    answers are joined back, so rows move once, or never where the answers are few enough to be sent to them.
     """
-    c = F.col(code)
-    forms = F.array_distinct(F.filter(F.array(c, F.regexp_replace(c, "^0+", ""), _padded(c)), lambda x: x.isNotNull()))
-    keyed = rows.select(F.struct(*rows.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), forms.alias("_f"))
-    asked = keyed.select("_row", "_id", F.posexplode_outer("_f").alias("_p", "_c"))
-    found = asked.join(entries(catalog).select(F.col("code").alias("_c"), F.col("fullname").alias("_n")), "_c", "left")
-    best = found.groupBy("_id").agg(F.any_value("_row").alias("_row"), F.min(F.when(F.col("_n").isNotNull(), F.struct("_p", "_n")))["_n"].alias(name))
-    return best.select("_row.*", name)
+    c = F.col("_c")
+    forms = F.array_distinct(F.array(c, F.regexp_replace(c, "^0+", ""), _padded(c)))
+    asked = rows.select(F.col(code).alias("_c")).where("_c is not null").distinct().select("_c", F.posexplode(forms).alias("_p", "_f"))
+    found = asked.join(entries(catalog).select(F.col("code").alias("_f"), F.col("fullname").alias("_n")), "_f")
+    best = found.groupBy("_c").agg(F.min_by("_n", "_p").alias(name))
+    return rows.withColumn("_c", F.col(code)).join(best, "_c", "left").drop("_c")
 
 
 def fill_names(rows: DataFrame, catalog: DataFrame, ocr_code: str | None = None) -> DataFrame:

@@ -55,10 +55,12 @@ def test_gating():
 
 def test_pipeline_equals_simulation(spark, sf_dir):
     found = fx.view(spark, sf_dir, fx.DET).withColumn("video_id", F.lit(1)).withColumn("tag_type", F.lit(""))
+    for k, c in enumerate(("x1", "y1", "x2", "y2")):  # fractional corners, which the pipeline cuts
+        found = found.withColumn(c, F.col(c) + (F.col("det_ord") % 4) * 0.2 + k * 0.05)
     frames = found.select("video_id", "frame_id").distinct()
     got = {(r.frame_id, r.track_id): (r.ran_model, r.missed, round(r.conf, 6)) for r in tracking.cascade(found, frames).collect()}
     settings, t, expected = config.Settings(), TagTracker(config.Settings().tracker), {}
-    rows = sorted(map(tuple, found.select("frame_id", "det_ord", "x1", "y1", "x2", "y2", "conf", "source").collect()))
+    rows = sorted(map(tuple, found.select("frame_id", "det_ord", *(F.expr(f"cast(cast({c} as long) as double)").alias(c) for c in ("x1", "y1", "x2", "y2")), "conf", "source").collect()))
 
     def iou(a, b):
         w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -101,3 +103,27 @@ def test_emission_twice_on_demand(spark):
     df = spark.createDataFrame([(v, f, o, t, n, True, 0.0, 0.0, 1.0, 1.0, 0.5, "x", 1, f, 0) for v, f, o, t, n in rows], tracking.OUT)
     assert tracking.emitted(df).count() == 3
     assert tracking.emitted(df, compat=True).count() == 4
+
+
+def test_confidence_that_the_pipeline_aims_at(spark, sf_dir):
+    from tagloom.operators import frames as fr
+
+    found = fx.view(spark, sf_dir, fx.DET).withColumn("video_id", F.floor(F.col("frame_id") / 100)).withColumn("tag_type", F.lit(""))
+    frames = found.select("video_id", "frame_id").distinct()
+    tracks = tracking.cascade(found, frames)
+    counts = {}
+    for r in tracks.collect():
+        counts[r.video_id, r.frame_id] = counts.get((r.video_id, r.frame_id), 0) + (r.matched or r.is_new) + (not r.is_new)
+    videos, aims = {}, {}
+    for video, frame in sorted(map(tuple, frames.collect())):
+        videos.setdefault(video, []).append(counts.get((video, frame), 0))
+        last = sorted(videos[video][-30:])
+        median = (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2
+        if len(videos[video]) >= 5:
+            aims.setdefault(video, []).append(0.35 if median < 3 else 0.65 if median > 12 else 0.5)
+    got = {r.video_id: r for r in fr.smoothed(tracking.aimed_confidence(tracks, frames)).collect()}
+    for video, targets in aims.items():
+        value = 0.5
+        for t in targets:
+            value = value * 0.7 + t * 0.3
+        assert got[video].steps == len(targets) and abs(got[video].confidence - value) < 1e-9
