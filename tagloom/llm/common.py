@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -69,13 +70,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagloom-{uuid4().hex}"
 
 
+#: Paths of tables written within each ``scratch``.
+_MADE: list[list[str]] = []
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written within go when it ends, but for those taken off the list that it gives, the last written last."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.pop()
+        for path in made:
+            _drop(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors. It goes when the application ends."""
+    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors. It goes with the ``scratch``
+    it is made in, or when the application ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _MADE:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (a node, the same for all of a component) of every node of ``edges`` (a, b).
 
     In each round every node points to the smallest of itself and its neighbours, and edges are drawn
-    anew between these; they run out after about the logarithm of a component's diameter. Pointers and
+    anew between these. Nodes are hashes here, so neighbours' order is random and each round removes a share
+    of the nodes of any component; a path whose nodes are numbered in order would take a round a node. Pointers and
     edges are written to the shared folder, so lineage stays short. A node of many edges is aggregated
     before the shuffle, and joins are between plain exchanges, which can be split.
     """

@@ -1,10 +1,15 @@
 import importlib
+import os
 import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tagloom.llm import mixing, quality_rules, secret_scan
-from tagloom.llm.common import written
+from pyspark.sql import functions as F
+
+from tagloom.llm import quality_rules, secret_scan
+from tagloom.llm.common import scratch, written
+from tests.llm.helpers import ODD, docs, with_clashes, words
+from tests.llm.test_mixing import plain_targets
 from tests.llm.test_near_dedup import shingle_set
 from tests.llm.test_packing import ids_of
 
@@ -47,7 +52,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     for r in mixed.collect():
         taken[r.source] += count(r.text)
         assert texts[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text)
-    target = mixing.targets(dict(sizes))
+    target = plain_targets(dict(sizes))
     assert all(abs(taken[s] - round(target[s])) <= 1 for s in target)
 
     packed = stage["packing"](spark, mixed, sf_dir).collect()
@@ -62,6 +67,26 @@ def test_run_equals_the_query(spark, sf_dir):
     assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(entry.queries()["pipeline"](spark, sf_dir))
 
 
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """Null ids, texts and sources, repeated rows, clashing names; and no rows."""
+    odd = with_clashes(docs(spark, [*ODD, *(words(i % 6, 90) for i in range(12))]).withColumn("doc_id", F.expr("if(doc_id % 5 = 0, null, doc_id)")))
+    for k, table in enumerate((odd.union(odd), odd.limit(0))):
+        where = f"{tmp_path}/{k}"
+        table.write.parquet(f"{where}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{where}/labels.parquet")
+        rows = corpus_pipeline.run(spark, where).collect()
+        assert bool(rows) == (k == 0) and all(r.length > 0 for r in rows)
+
+
+def test_tables_of_a_scratch_go(spark, tmp_path):
+    with scratch(spark) as made:
+        kept, gone = written(spark.range(3)), written(spark.range(4))
+        first, second = (p.removeprefix("file:") for p in made)
+        assert kept.count() == 3 and gone.count() == 4
+        made.remove(made[0])
+    assert kept.count() == 3 and os.path.exists(first) and not os.path.exists(second)
+
+
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {int(q[2:].split("_")[0]) for q in entry.queries() if re.match(r"op\d+_", q)} == set(range(1, 11))
