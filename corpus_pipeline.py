@@ -1,4 +1,10 @@
-"""The corpus pipeline: five operators one after another over the whole ``documents`` table."""
+"""The corpus pipeline: five operators one after another over the whole ``documents`` table.
+
+Defined results: a null or empty text fails the base rules, so it goes in the first stage; documents with a
+null id go the same way as others, and of repeated rows one stays; a null source is a source of its own;
+columns besides those of ``documents`` are carried up to packing, whatever their names; an empty table gives
+an empty result. Each stage's tables go once its result is written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from tagloom.llm.common import table, written
+from tagloom.llm.common import scratch, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -46,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), len(STAGES) - 1
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+        if at == last:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as made:
+            result = written(stage(spark, docs, sf_dir))
+            path = made.pop()
+            if at:
+                made.append(before)
+        docs, before = result, path
