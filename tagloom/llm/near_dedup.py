@@ -12,9 +12,11 @@ probability of their Jaccard similarity, and agreements concentrate as for indep
    (a star, not all pairs), and the components of these stars are the clusters to verify.
 3. Clusters are cut into blocks of bounded size, whose exact similarities link their members.
 4. Clusters of several blocks: the linked groups of all blocks are tested against the cluster's
-   largest ones; then members outside its largest component are compared, block against block, with
-   all members of other components. So no pair that is not yet connected is left out, and the large
-   component is not compared with itself.
+   largest ones. What is still unconnected is found by an exact prefix filter: in an order of shingles
+   from the cluster's rarest on, two sets at the threshold share one of their first 15 %, at places
+   that leave room for the rest. Only pairs of different components of which one member is outside the
+   largest are proposed, so the large component is not compared with itself, and text that a template
+   gives to all members proposes nothing as long as members have shingles of their own.
 5. Components of all links give the result.
 
 A pair at the threshold 0.85 misses all bands with probability (1-0.85^8)^48 = 2e-7.
@@ -246,25 +248,35 @@ def _link_blocks(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _link_cross(table: pa.Table) -> pa.Table:
-    """Links between the two sides of each unit, one for each member of the outer side and group of the other."""
-    a, b = [], []
-    for rows in _by(table, "root", "r_block", "block"):
-        part = table.take(pa.array(rows))
-        outer = part["outer"].to_numpy(zero_copy_only=False)
-        if outer.all() or not outer.any():
-            continue
-        label, sets = part["label"].to_numpy(), _arrays(part["data"])
-        i, j = np.flatnonzero(outer), np.flatnonzero(~outer)
-        x, y = [sets[k] for k in i], [sets[k] for k in j]
-        sizes = np.array([len(s) for s in sets])
-        hits = linked(intersections(x, y), sizes[i], sizes[j]) & (label[i][:, None] != label[j][None, :])
-        if hits.any():
-            p, q = np.nonzero(hits)
-            pairs = np.unique(np.stack([label[i][p], label[j][q]], 1), axis=0)
-            a += pairs[:, 0].tolist()
-            b += pairs[:, 1].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, few sets at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            sets = _arrays(part.column(2))
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            items = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(items)], ["root", "node", "item"])
+
+
+def candidates(placed: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes that an exact prefix filter leaves. ``placed``, a table, has ``root`` (cluster), ``node``
+    (once each), ``label`` (what is connected), ``outer`` (whether pairs of it are wanted; one of a pair must be) and ``data``."""
+    items = written(bounded(placed.select("root", "node", "data")).mapInArrow(_items, "root bigint, node bigint, item bigint"))
+    often = items.groupBy("root", "item").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = items.join(often, ["root", "item"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("k", "item")))  # one text's shingles
+    shape = placed.select("node", "label", "outer", F.expr("length(data) div 8").alias("n"))
+    heads = ranked.join(shape, "node").where((F.col("k") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
+    heads = written(heads.select("root", "item", "node", "label", "outer", "n", "at"))
+    # shingles found in one component only, or in none that is wanted, propose nothing
+    open_ = heads.groupBy("root", "item").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("outer").alias("o")).where("l < h and o").select("root", "item")
+    heads = written(heads.join(open_, ["root", "item"]))
+    x = heads.where("outer").select("root", "item", *(F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "at")))
+    pairs = x.join(heads, ["root", "item"]).where("label <> x_label and (not outer or node > x_node)")
+    common = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1  # the most, if this is the first in common
+    fit = 100 * common >= PERCENT * (F.col("n") + F.col("x_n") - common)
+    return pairs.where(fit).select(F.col("x_node").alias("x"), F.col("node").alias("y")).distinct()
 
 
 def _link_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,20 +370,16 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         pivot_sets = written(with_set.join(pivots.select("root", "local"), ["root", "local"]).select("root", F.col("local").alias("p_local"), F.col("data").alias("p_data")))
         tests = with_set.join(pivot_sets, "root").where("local <> p_local").select("local", "data", "p_local", "p_data")
         labels = written(_labels(labels, bounded(tests).mapInArrow(_link_pivots, "a bigint, b bigint")))
-        # members outside a cluster's largest component against all other components
+        # members outside a cluster's largest component and those of others that they may be linked with
         placed = written(sets.join(many, "root").dropDuplicates(["node"]).join(labels, "node"))
         largest = placed.groupBy("root", "label").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
         placed = placed.join(written(largest), "root")
-        outside = written(placed.where("label <> main").groupBy("root").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("r_blocks")))
+        outside = written(placed.where("label <> main").select("root").distinct())
         if not outside.isEmpty():
-            every = placed.join(outside, "root")
-            inner = every.withColumn("outer", F.lit(False)).withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_blocks") - 1)))
-            outer = every.where("label <> main").withColumn("outer", F.lit(True)).withColumn("r_block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("r_blocks")))
-            outer = outer.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            columns = ["root", "r_block", "block", "outer", "label", "data"]
-            pairs = inner.select(*columns).unionByName(outer.select(*columns)).withColumn("unit", F.xxhash64("root", "r_block", "block"))
-            links = pairs.groupBy("unit").applyInArrow(lambda t: _link_cross(t), "a bigint, b bigint")
-            labels = written(_labels(labels, links))
+            every = written(placed.join(outside, "root").select("root", "node", "label", (F.col("label") != F.col("main")).alias("outer"), "data"))
+            side = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"), F.col("data").alias(f"{c}_data"))
+            tests = written(candidates(every)).join(side("x"), "x").join(side("y"), "y").select("x_label", "x_data", "y_label", "y_data")
+            labels = written(_labels(labels, bounded(tests).mapInArrow(_link_pivots, "a bigint, b bigint")))
 
     # the smallest document of each component; classes outside clusters stand alone
     member = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

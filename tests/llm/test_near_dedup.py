@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import near_dedup as n
 from tests.compare import assert_same
@@ -63,6 +64,23 @@ def test_components_equal_all_pairs(spark, monkeypatch, members):
         assert r.n_shingles == len(shingle_set(TEXTS[order[r.doc_id]])) and r.kept == (r.doc_id == r.component_id)
 
 
+def test_texts_of_one_template_propose_few_pairs(spark):
+    rng, template, size = random.Random(6), words(50, 120).split(), 400
+    texts = []
+    for i in range(size):  # two thirds are the template's; every tenth is a near copy of the one before
+        own = words(1000 + i, 60).split()
+        texts.append([*template, *own] if i % 10 else [*texts[-1][:-1], f"e{rng.randrange(9999)}"] if i else [*template, *own])
+    sets = [n.shingles(" ".join(t)) for t in texts]
+    rows = [(1, i, i, True, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "root long, node long, label long, outer boolean, data binary")
+    got = {(r.x, r.y) for r in n.candidates(table).collect()}
+    sizes = np.array([len(s) for s in sets])
+    links = {(int(i), int(j)) for i, j in zip(*np.nonzero(n.linked(n.intersections(sets), sizes, sizes))) if i < j}
+    assert len(links) == size // 10 - 1 and links <= got and len(got) < size
+    main = table.withColumn("outer", table.node >= 390).withColumn("label", F.when(table.node >= 390, table.node).otherwise(0))
+    assert {(r.x, r.y) for r in n.candidates(main).collect()} == {(390, 389)}  # a pair of two in the main component is not proposed
+
+
 def test_whole_table_equals_sql(spark, sf_dir):
     assert_same(n.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), n.ORACLE, sf_dir)
 
