@@ -185,10 +185,12 @@ def simple_info(texts: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in values.items()))
 
 
-def single_fields(texts: Column, decoded: Column | None = None) -> Column:
-    """Highest price, joined name and barcode; a ``decoded`` barcode that passes the check goes first."""
+def single_fields(texts: Column, decoded: Column | None = None, payload: Column | None = None) -> Column:
+    """Highest price, joined name, barcode and QR code; a ``decoded`` barcode that passes the check goes first.
+    ``payload``: the decoded QR text, null where it is empty."""
     code = barcode(texts)
     if decoded is not None:
         code = F.coalesce(F.when(valid_ean(digits(decoded)), digits(decoded)), code)
     price = F.try_element_at(price_list(texts, "ocr"), F.lit(1))
-    return F.struct(price.alias("price"), plain_name(texts).alias("product_name"), code.alias("barcode"))
+    qr_code = F.lit(None).cast("string") if payload is None else blank_to_null(payload)
+    return F.struct(price.alias("price"), plain_name(texts).alias("product_name"), code.alias("barcode"), qr_code.alias("qr_code"))

@@ -75,3 +75,12 @@ def smoothed(targets: DataFrame, base: float = 0.5, keep: float = 0.7) -> DataFr
     weighted = targets.where("target is not null").withColumn("_w", F.pow(F.lit(keep), after))
     last = F.lit(base) * F.pow(F.lit(keep), F.count("*")) + F.sum(F.col("target") * (1 - keep) * F.col("_w"))
     return weighted.groupBy("video_id").agg(F.count("*").cast("int").alias("steps"), last.alias("confidence"))
+
+
+def frame_rate(df: DataFrame, video: str, frame: str, at: str, every: int = 10) -> DataFrame:
+    """Every ``every``-th processed frame of a video, with the number of ``frames`` so far, the seconds ``elapsed`` since
+    its first one was done (``at``), and frames ``per_second``, 0 while no time has passed."""
+    so_far = W.partitionBy(video).orderBy(frame).rowsBetween(W.unboundedPreceding, 0)
+    counted = df.select(video, frame, F.count("*").over(so_far).alias("frames"), (F.col(at) - F.min(at).over(so_far)).cast("double").alias("elapsed"))
+    rate = F.when(F.col("elapsed") > 0, F.col("frames") / F.col("elapsed")).otherwise(F.lit(0.0))
+    return counted.where(F.col("frames") % every == 0).withColumn("per_second", rate)

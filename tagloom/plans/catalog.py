@@ -450,10 +450,12 @@ def _(df):
 @over("single_fields", _TEXTS, f""", {_price_cte('ocr')},
 k as (select crop_id, min_by({_CODE}, line_no) as code from src where {_CODE} <> '' and {_ean_sql(_CODE)} group by 1),
 x as (select crop_id, string_agg(text, ' ' order by line_no) as name from src where not regexp_matches(text, '[0-9]') group by 1)
-select q.crop_id, p[1] as price, name as product_name, case when q.crop_id%2 = 0 then '4600644110002' else code end as barcode from q left join x using (crop_id) left join k using (crop_id)""")
+select q.crop_id, p[1] as price, name as product_name, case when q.crop_id%2 = 0 then '4600644110002' else code end as barcode,
+  case when q.crop_id%3 > 0 then 'qr ' || cast(q.crop_id as string) end as qr_code from q left join x using (crop_id) left join k using (crop_id)""")
 def _(df):
     decoded = F.when(F.col("crop_id") % 2 == 0, "460-0644110002").otherwise("4600644110006")
-    return _texts(df).select("crop_id", text.single_fields(F.col("texts"), decoded).alias("i")).select("crop_id", "i.*")
+    payload = F.when(F.col("crop_id") % 3 > 0, F.concat(F.lit("qr "), F.col("crop_id").cast("string"))).otherwise("")
+    return _texts(df).select("crop_id", text.single_fields(F.col("texts"), decoded, payload).alias("i")).select("crop_id", "i.*")
 
 
 # ---- QR payloads
@@ -824,6 +826,13 @@ def _(spark, sf_dir):
     return t.groupBy("video_id", "frame_id").agg(F.bool_or((F.col("last_seen") - F.col("first_seen") >= 3) & (F.col("missed") == 0)).alias("sure"))
 
 
+@over("frame_rate", fx.FRAME_TIMES, """, n as (
+  select video_id, frame_id, row_number() over w as frames, done_at - min(done_at) over w as elapsed from src window w as (partition by video_id order by frame_id rows between unbounded preceding and current row)
+) select video_id, frame_id, cast(frames as bigint) as frames, round(elapsed, 6) as elapsed, round(case when elapsed > 0 then frames / elapsed else 0 end, 6) as per_second from n where frames%10 = 0""")
+def _(df):
+    return frames.frame_rate(df, "video_id", "frame_id", "done_at").select("video_id", "frame_id", "frames", r6("elapsed", "elapsed"), r6("per_second", "per_second"))
+
+
 @query("frame_pipeline")
 def _(spark, sf_dir):
     """Merging, model gating and tracking together; the state cannot be put in SQL, so a simulation tests it."""

@@ -92,6 +92,8 @@ select event_id%50 as track_id, event_id as ord, case event_id%3 when 0 then 'na
 """
 #: Detections per frame of a few videos.
 DENSITY = "select user_id%7 as video_id, event_id as frame_id, cast((event_id*37)%17 as int) as n from events"
+#: When frames of a few videos were done, in seconds.
+FRAME_TIMES = "select user_id%7 as video_id, event_id as frame_id, cast(floor(event_id/32) as double)/8 as done_at from events"
 #: Pixels of a few frames.
 PIXELS = "select event_id%6 as video_id, event_id as pixel_id, cast((event_id*7919)%256 as int) as s, cast((event_id*104729)%256 as int) as v, cast((event_id*31)%181 as int) as h from events"
 TABLES = ("events", "part")
