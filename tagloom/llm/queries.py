@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import html_extract, importance, license_scan, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, secret_scan, topk_search
+from tagloom.llm import alignment, html_extract, importance, license_scan, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, secret_scan, topk_search
 from tagloom.llm.common import table
 
 
@@ -51,12 +51,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_near_dedup, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan, op13_importance)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_near_dedup, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan, op12_alignment, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
