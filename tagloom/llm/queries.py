@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import alignment, html_extract, importance, license_scan, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, secret_scan, topk_search
+from tagloom.llm import alignment, html_extract, importance, license_scan, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, secret_scan, topk_search, vector_join
 from tagloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
@@ -60,8 +64,8 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_near_dedup, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan, op12_alignment, op13_importance)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_near_dedup, op7_packing, op8_topk_search, op9_html_extract, op10_license_scan, op11_vector_join, op12_alignment, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle_sql(), "op13_importance": importance.ORACLE, "op4_secret_scan": secret_scan.oracle_sql(), "op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
+    return {"op10_license_scan": license_scan.oracle_sql(), "op11_vector_join": vector_join.ORACLE, "op13_importance": importance.ORACLE, "op4_secret_scan": secret_scan.oracle_sql(), "op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
