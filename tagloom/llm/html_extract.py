@@ -9,9 +9,18 @@ classes without digits, and known by a hash. In Spark the paths of all pages of
 scores. Then each page is extracted again from the elements on the host's winning path; a page that lacks
 the path uses its own best container.
 
-Boilerplate are elements by tag or role, and those whose class or id consists of words for boilerplate
-and neutral ones only ("ad", "site-footer", "related-posts"). If other words are among them
-("related-work", "acme-sidebar"), names are no more than a suspicion: the text decides, by its share in links.
+Boilerplate are elements by tag, role or the attributes ``hidden`` and ``aria-hidden``. Everything else is suspected
+only, and decided once the page is read:
+
+- a class or id of words for boilerplate and neutral ones only ("ad", "site-footer", "right-sidebar"), a form, and
+  ``display:none`` in a style: dropped, unless it holds a main or most of the text that nothing is suspected of (text
+  in an article counts more). So a layout wrapper named like a sidebar, or a form around the whole page, stays;
+- words for readers' comments, related pages and the like among these ("comments", "related-posts"): dropped
+  unless it holds a main;
+- other words among them ("related-work", "acme-sidebar"): dropped by the share of its text in links.
+
+A heading of the first level is never suspected by name; other headings and paragraphs by words for adverts
+and the like only, since "page-header" or "related" there says how they look.
 
 Parsing is one pass of a tokenising regex with an explicit stack: unclosed paragraphs, cut-off pages
 and stray end tags are tolerated. Elements point to their parents, and scores are summed from the leaves
@@ -52,6 +61,7 @@ CLOSES = {
 _LIST_HOLDERS = frozenset(["ul", "ol", "dl", "table"])
 #: Elements whose text is their holder's; elements in foreign markup that hold text of pages.
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre".split())
+_SPOKEN = _TEXT_TAGS - {"li"}
 _TEXT_HOLDERS = frozenset("foreignobject desc title annotation-xml".split())
 #: Parts of what holds them: lists and the like, and tables.
 LISTS = frozenset("ul ol li dir dl dt dd figure figcaption details summary".split())
@@ -59,44 +69,66 @@ TABLES = frozenset("table thead tbody tfoot tr td th".split())
 #: Elements without article text, which may lack an end tag; and markup of its own, which ends where a block begins.
 EMBEDDED = frozenset("noscript template iframe select option optgroup datalist canvas object video audio map xmp noframes".split())
 FOREIGN = frozenset(["svg", "math"])
-SKIP_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | RAW | EMBEDDED | FOREIGN
+SKIP_TAGS = frozenset("nav header footer aside button menu dialog head".split()) | RAW | EMBEDDED | FOREIGN
 #: Words in classes and ids: of boilerplate, and neutral ones that may stand beside them.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion promoted banner banners cookie cookies consent "
     "gdpr notice notices popup modal newsletter subscribe subscription nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar side footer header "
     "masthead comment comments respond reply replies disqus related recommend recommended recommendation recommendations share sharing social pagination pager "
-    "widget widgets login signup signin search".split()
+    "widget widgets login signup signin search reaction reactions".split()
+)
+#: Among these: what never holds an article, and what is suspected of a paragraph or heading too.
+APART = frozenset(
+    "comment comments respond reply replies reaction reactions disqus related recommend recommended recommendation recommendations share sharing social "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription breadcrumb breadcrumbs pagination pager login signup signin".split()
 )
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsors sponsored cookie cookies consent gdpr newsletter subscribe subscription".split())
 NEUTRAL = frozenset(
     "box boxes area areas bar bars block blocks wrap wrapper container inner outer body section sections list lists item items link links button buttons btn "
     "icon icons form field input post posts article articles story stories page pages site main primary secondary top bottom left right first last global local "
-    "mobile desktop sticky fixed overlay message panel column col row grid group holder title heading text label slot unit zone thread count meta info tools tool "
+    "mobile desktop sticky fixed overlay message panel reader readers user users column col row grid group holder title heading text label slot unit zone thread count meta info tools tool "
     "toolbar the and of for to by my our more also read new js large small medium dark light".split()
 )
 _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Share of text in links from which a suspected element is boilerplate.
 LINK_SHARE = 0.4
+#: What a suspect is suspected by; how often text in an article counts; how much of the other text it has to outweigh, without and with an article; and its least text.
+PERHAPS, LAYOUT, OTHER = 1, 2, 3
+ARTICLE_WEIGHT, OUTWEIGHS, OUTWEIGHS_WITH_ARTICLE, LEAST_TEXT = 3, 4, 1, 140
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?|[\"'][^\"']*[\"']?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none\b", re.I)
 _WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _DIGITS = re.compile(r"\d+")
 DECAY = 0.75
 _NOT_P = BLOCK - {"p"}
+_PAGE = frozenset(["body", "html", "article", "main"])
 
 
-def name_says(names: str) -> int:
-    """What classes and ids say of an element: 2 boilerplate, 1 perhaps, 0 nothing."""
+def name_says(names: str, tag: str = "div") -> int:
+    """What classes and ids say of an element: ``OTHER`` than the article, ``LAYOUT`` or ``OTHER``, ``PERHAPS`` boilerplate; 0: nothing."""
     said = 0
+    if tag == "h1":
+        return said
     for name in _CAMEL.sub("-", names).lower().split():
         words = _NAME_WORDS.findall(name)
-        if not BOILERPLATE.isdisjoint(words):  # "comment-content" is of a comment, "content-sidebar" of a whole layout
+        if not (ADVERTS if tag in _SPOKEN else BOILERPLATE).isdisjoint(words):  # "comment-content" is of a comment, "content-sidebar" of a whole layout
             known = all(w in BOILERPLATE or w in NEUTRAL or w == "content" and words[0] in BOILERPLATE for w in words)
-            said = max(said, 2 if known else 1)
+            said = max(said, PERHAPS if not known else LAYOUT if APART.isdisjoint(words) else OTHER)
     return said
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        if name:
+            out.setdefault(name.lower(), next(filter(None, values), ""))
+    return out
+
+
 def _step(parent: int, tag: str, classes: str) -> int:
     """The hash of a path: its parent's, and the tag and classes without digits of its last element."""
     kinds = "".join(f".{_DIGITS.sub('', c.lower())}" for c in sorted(set(classes.split())))
@@ -109,7 +141,7 @@ class Page:
     def __init__(self, page: str):
         self.tags, self.paths, self.parents = [""], [0], [-1]  # of each element; paths are hashes
         blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, innermost suspect
-        suspects: list[list[int]] = [[-1, 0, 0]]  # the suspect around it, characters, of these in links
+        suspects: list[list] = [[-1, 0, 0, 0, 0, False]]  # the suspect around it, why, characters, of these in links, in articles; whether it holds a main
         stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, element, skipped, suspect
         open_: Counter = Counter()
         parts: list[str] = []
@@ -126,15 +158,16 @@ class Page:
                         holder = self.parents[holder]
                     at = stack[-1][3]
                     blocks.append((holder, text, linked, at))
-                    suspects[at][1] += len(text)
-                    suspects[at][2] += min(linked, len(text))
+                    suspects[at][2] += len(text)
+                    suspects[at][3] += min(linked, len(text))
+                    suspects[at][4] += len(text) if open_["article"] or open_["main"] else 0
                 parts.clear()
             linked = 0
 
         def close(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
-                if stack[-1][0] in BLOCK or stack[-1][2]:
+                if stack[-1][0] in BLOCK or stack[-1][2] or stack[-1][3] != stack[-2][3]:
                     flush()
                 links -= stack[-1][0] == "a"
                 open_[stack[-1][0]] -= 1
@@ -200,17 +233,19 @@ class Page:
                 continue
             if m.group(3).endswith("/") and tag not in BLOCK or tag in EMBEDDED and not ended(tag):
                 continue
-            attrs = {a.lower(): v or w or x for a, v, w, x in _ATTR.findall(m.group(3))} if m.group(3) else {}
-            skipped = stack[-1][2] or tag in SKIP_TAGS or ("hidden" in attrs) or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLE
-            suspect = stack[-1][3]
-            names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-            if names and not skipped and tag not in ("body", "html", "article", "main"):
-                said = name_says(names)
-                skipped = said == 2
-                if said == 1:
+            attrs = attributes(m.group(3)) if m.group(3) else {}
+            role, suspect = attrs.get("role", "").lower(), stack[-1][3]
+            skipped = stack[-1][2] or tag in SKIP_TAGS or tag not in _PAGE and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or role in SKIP_ROLE)
+            if not skipped and tag not in _PAGE:
+                said = name_says(f"{attrs.get('class', '')} {attrs.get('id', '')}", tag) if "class" in attrs or "id" in attrs else 0
+                if said < LAYOUT and (tag == "form" or "style" in attrs and _NO_DISPLAY.search(attrs["style"])):
+                    said = LAYOUT
+                if said:
                     flush()
-                    suspects.append([suspect, 0, 0])
+                    suspects.append([suspect, said, 0, 0, 0, False])
                     suspect = len(suspects) - 1
+            if (tag == "main" or role == "main") and not skipped:
+                suspects[suspect][5] = True
             if skipped and not stack[-1][2]:
                 flush()
             if tag in BLOCK and not skipped:
@@ -224,14 +259,32 @@ class Page:
             links += tag == "a"
         close(1)
         flush()
-        for around, n, in_links in reversed(suspects[1:]):
-            suspects[around][1] += n
-            suspects[around][2] += in_links
-        out = [False]
-        for around, n, in_links in suspects[1:]:
-            out.append(out[around] or in_links >= LINK_SHARE * n)
+        out = self._dropped(suspects)
         self.blocks = [(holder, text, n) for holder, text, n, at in blocks if not out[at]]
 
+    @staticmethod
+    def _dropped(suspects: list[list]) -> list[bool]:
+        """Whether the text of each suspect, and of those in it, is dropped; suspects come after what is around them."""
+        clear = [True]  # not suspected but perhaps
+        for around, said, *_ in suspects[1:]:
+            clear.append(clear[around] and said == PERHAPS)
+        free = sum(n + (ARTICLE_WEIGHT - 1) * a for (_, _, n, _, a, _), c in zip(suspects, clear) if c)
+        whole = [list(x) for x in suspects]
+        for x in reversed(whole[1:]):
+            for k in (2, 3, 4):
+                whole[x[0]][k] += x[k]
+            whole[x[0]][5] |= x[5]
+        out = [False]
+        for around, said, n, in_links, in_article, main in whole[1:]:
+            if said == PERHAPS:
+                drop = in_links >= LINK_SHARE * n
+            elif said == LAYOUT and n >= LEAST_TEXT and in_links < LINK_SHARE * n:
+                drop = n + (ARTICLE_WEIGHT - 1) * in_article < free * (OUTWEIGHS_WITH_ARTICLE if in_article else OUTWEIGHS)
+            else:
+                drop = True
+            out.append(out[around] or drop and not main)
+        return out
+
     def containers(self) -> list[int]:
         """The container (0: none) whose own text each element's text is."""
         tags, headed = self.tags, set()

@@ -107,3 +107,40 @@ def test_long_page_is_linear():
     text = h.extract("<article>" + "<p>word</p>" * 50_000, None)
     assert text == "\n".join(["word"] * 50_000)
     assert h.extract("<div>" * 3000 + "deep", None) == "deep"
+
+
+_ART = "<h1>A title</h1><p>" + "Some words of the article itself. " * 20 + "</p><p>And its end.</p>"
+_ART_TEXT = re.sub(r"<[^>]*>", " ", _ART).split()
+_REST = "<nav><a href=/>Home</a></nav>{}<footer>About us</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div style='overflow:hidden'>{_ART}</div>", f"<div class=right-sidebar>{_ART}</div>", f"<div class='sidebar-left'><main>{_ART}</main></div>", f"<div class=promo-article>{_ART}</div>",
+    f"<div class=search-page><div class=content>{_ART}</div></div>", f"<form action=/x method=post><input type=hidden name=state><div id=content>{_ART}</div><select><option>1</select></form>",
+    f"<div title='a hidden gem'>{_ART}</div>", f"<div data-hidden>{_ART}</div>", f"<div data-role=navigation>{_ART}</div>", f"<div data-class='ad'>{_ART}</div>",
+    f"<article>{_ART.replace('<h1>', '<h1 class=page-header>').replace('<p>', '<p class=related>')}</article>", f"<div class=layout-sidebar><article>{_ART}</article></div>",
+    f"<div style='color:red;display:none'>{_ART}</div>", f"<div class=sidebar><form><div class=promo>{_ART}</div></form></div>",
+])
+def test_wrappers_named_like_boilerplate_stay(page):
+    for whole in (page, _REST.format(page), _REST.format(page + "<div class=ads>Buy this now</div>")):
+        assert h.extract(whole, None).split() == _ART_TEXT, whole[:120]
+
+
+def test_a_link_of_any_address_stays():
+    assert h.extract("<article><p>see <a href='/hidden/x'>the page</a> there</p></article>", None) == "see the page there"
+
+
+@pytest.mark.parametrize("other", [
+    "<div class=reader-reactions>{}</div>", "<div id=comments><article class=comment-body>{}</article></div>", "<div class=related-posts><article>{}</article></div>", "<form class=login>{}</form>",
+    "<div class=sidebar><article>{}</article></div>", "<div class=sidebar>{}</div>", "<div style='display: none'>{}</div>", "<p class=advert>{}</p>", "<span class=ad>{}</span>",
+])
+def test_what_is_beside_the_article_goes(other):
+    for tag, n in (("article", 1), ("div class=post-body", 1)):
+        page = f"<{tag}>{_ART}</{tag.split()[0]}>" + other.format("<b>Words of somebody else.</b> " * 20 * n)
+        assert h.extract(page, None).split() == _ART_TEXT, page[:100]
+    short = "<div class=post-body><p>" + "A short article of few words. " * 10 + "</p></div>"
+    assert "somebody" not in h.extract(short + "<div class=reader-reactions>" + "<p>Words of somebody else.</p>" * 60 + "</div>", None)
+
+
+def test_attributes():
+    assert h.attributes(" class=a  ID='b c' hidden data-x=\"hidden\" style = \"x:'y'\" class=z /") == {"class": "a", "id": "b c", "hidden": "", "data-x": "hidden", "style": "x:'y'"}
