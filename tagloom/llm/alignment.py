@@ -2,11 +2,11 @@
 
 A text is encoded by a byte-level BPE (A) and a sentence-piece BPE with byte fallback (B). The byte offsets where
 tokens end are kept in a dictionary from end to index for each tokenizer; the ends found in both, sorted, slice both id
-lists into groups, and within a group the A and B tokens that overlap are expanded into links.
+lists into groups, and each group is expanded into the links of its A and B tokens that overlap.
 
-Both tokenizers always cut a text before a single space between two characters that are not white space, so a text
-is a row of such units, whose groups join to those of the text. Each is encoded and aligned by
-itself, and a task remembers the short ones (two generations of a bounded number).
+Both tokenizers always cut a text before a single space or line feed between two characters that are not white
+space (which is verified for B's pieces), so a text is a row of such units, whose groups join to those of the text. A task encodes and aligns units that it does not
+know, many as one text, and remembers the short ones (two generations of a bounded number).
 
 Counts, over all documents:
 
@@ -27,10 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
-from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -44,21 +42,18 @@ from tagloom.llm.common import bounded, slices, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that are cut into units at once; units that a task remembers, and the longest of them.
-PIECE, REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 16, 48
+PIECE, REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 18, 48
 #: Pairs that a task counts before it gives them on; pairs of a slice, of a chunk of it.
 COUNTED, SLICE_PAIRS, CHUNK_PAIRS = 1 << 20, 1 << 21, 1 << 14
-#: A space between two characters that are not white space begins a unit.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space or line feed between two characters that are not white space begins a unit.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: What is before units that are encoded together; no token holds its end and what follows.
+LEAD = " ."
 
 
-class Unit(NamedTuple):
-    """Groups of a unit as text (None: its bytes are not those of its tokens), the codes of its links, and sizes."""
-
-    groups: str | None
-    codes: tuple[int, ...]
-    n_a: int
-    n_b: int
-    n_groups: int
+#: Of a unit: its groups as text (None: its bytes are not those of its tokens), codes of its links, numbers of A and B tokens and of groups.
+Unit = tuple[str | None, bytes, int, int, int]
+UNKNOWN: Unit = (None, b"", 0, 0, 0)
 
 
 def byte_level() -> dict[str, int]:
@@ -68,33 +63,6 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def slice_groups(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """From lengths in bytes of two rows of tokens of the same text: first and last (exclusive) token of each group in both."""
-    ends_a = {end: k for k, end in enumerate(accumulate(a), 1)}
-    ends_b = {end: k for k, end in enumerate(accumulate(b), 1)}
-    i = j = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        yield i, ends_a[end], j, ends_b[end]
-        i, j = ends_a[end], ends_b[end]
-
-
-def overlapping(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
-    """Tokens of a group, from their lengths, whose byte ranges overlap."""
-    i = j = 0
-    end_a, end_b = a[0], b[0]
-    while True:
-        yield i, j
-        if end_a == end_b and i + 1 == len(a) and j + 1 == len(b):
-            return
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-            end_a += a[i]
-        if step_b:
-            j += 1
-            end_b += b[j]
-
-
 class Aligner(dict):
     """Aligned units by their text."""
 
@@ -104,13 +72,18 @@ class Aligner(dict):
 
         super().__init__()
         self.before: dict[str, Unit] = {}
+        self.long: dict[str, Unit] = {}
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are then ordinary text
         of = byte_level()
-        self.bytes_a = {k: bytes(of[c] for c in token) if all(c in of for c in token) else token.encode() for token, k in self.a.get_vocab().items()}
+        entry = lambda token: bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[1:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
-        self.bytes_b = [piece(k) for k in range(self.b.get_piece_size())]
-        inside = any(" " in p.decode("utf-8", "ignore").lstrip(" ") for p in self.bytes_b)
+        by_id = {k: token for token, k in self.a.get_vocab().items()}
+        self.bytes_a, self.bytes_b = [entry(by_id.get(k, "")) for k in range(max(by_id) + 1)], [piece(k) for k in range(self.b.get_piece_size())]
+        self.long_a, self.long_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        # ids as text, followed by what follows within a group and at its end
+        self.text_a, self.text_b = (np.array([f"{k}{c}" for c in ("," + end) for k in range(len(x))], object) for x, end in ((self.bytes_a, "|"), (self.bytes_b, ";")))
+        inside = any(" " in p.lstrip(" ") or "\n" in p and len(p) > 1 for p in (x.decode("utf-8", "ignore") for x in self.bytes_b))
         self.whole = inside or self.a.normalizer is not None  # pieces over words: no cuts
 
     def units(self, text: str) -> Iterator[list[str]]:
@@ -122,32 +95,79 @@ class Aligner(dict):
             yield [text[at:end]] if self.whole else _CUT.split(text[at:end])
             at = end
 
-    def align(self, unit: str) -> Unit:
-        a, b = self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit[1:])
-        of_a, of_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        raw = unit.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return Unit(None, (), 0, 0, 0)
-        long_a, long_b = list(map(len, of_a)), list(map(len, of_b))
-        groups, codes = [], []
-        for i, k, j, m in slice_groups(long_a, long_b):
-            groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            codes += [a[i + x] << 32 | b[j + y] for x, y in overlapping(long_a[i:k], long_b[j:m])]
-        return Unit(";".join(groups), tuple(codes), len(a), len(b), len(groups))
+    def learn(self, units: list[str]) -> None:
+        """Align units that are not known, as one text: it is cut between them in any case."""
+        units = [LEAD, *units]
+        joined = "".join(units)
+        a, b = self.a.encode(joined, add_special_tokens=False).ids, self.b.encode(joined[1:])
+        raw = joined.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            for u in units[1:] if len(units) > 2 else ():
+                self.learn([u])
+            if len(units) == 2:
+                self._keep(units[1], UNKNOWN)
+            return
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        index_a, index_b = ({end: k for k, end in enumerate(ends.tolist(), 1)} for ends in (ends_a, ends_b))
+        common = sorted(index_a.keys() & index_b.keys())
+        cut_a, cut_b = (np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
+        # slices: both sides' ids as text, A's before B's within each group
+        size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cut_a - 1] = last_b[cut_b - 1] = 1
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.repeat(cut_b - size_b, size_a)] = self.text_a[a + len(self.bytes_a) * last_a]
+        text[np.arange(len(b)) + np.repeat(cut_a, size_b)] = self.text_b[b + len(self.bytes_b) * last_b]
+        # links: in a group, what lies between neighbouring ends of either is in one A and one B token
+        ends = np.union1d(ends_a, ends_b)
+        codes = (a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]).astype("<i8").tobytes()
+        of_unit = np.cumsum([len(u) for u in units] if joined.isascii() else [len(u.encode()) for u in units])
+        to_a, to_b, to_group, to_link = (np.searchsorted(x, of_unit, "right").tolist() for x in (ends_a, ends_b, np.array(common), ends))
+        text, i, j, g, k = text.tolist(), to_a[0], to_b[0], to_group[0], to_link[0]
+        for unit, i2, j2, g2, k2 in zip(units[1:], to_a[1:], to_b[1:], to_group[1:], to_link[1:]):
+            self._keep(unit, ("".join(text[i + j : i2 + j2])[:-1], codes[8 * k : 8 * k2], i2 - i, j2 - j, g2 - g))
+            i, j, g, k = i2, j2, g2, k2
+
+    def _keep(self, unit: str, found: Unit) -> None:
+        if len(unit) > REMEMBERED_CHARS:
+            self.long[unit] = found
+            return
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[unit] = found
 
     def __missing__(self, unit: str) -> Unit:
-        found = self.before.get(unit) or self.align(unit)
-        if len(unit) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.before = dict(self)
-                self.clear()
-            self[unit] = found
+        found = self.before.get(unit) or self.long.get(unit)
+        if found is None:
+            self.learn([unit])
+            return self.get(unit) or self.long[unit]
+        self._keep(unit, found)
         return found
 
-    def text(self, text: str | None) -> tuple[int, int, int, int, np.ndarray, np.ndarray, str]:
-        """Numbers of A and B tokens, groups and links, distinct codes and their numbers, and the hash of the groups."""
+    def prepare(self, some: list[str]) -> None:
+        """Learn those of ``some`` that are not known, a stretch at a time; long ones are known until the next call."""
+        self.long.clear()
+        new, at = [], 0
+        for u in set(some).difference(self):
+            if u not in self.before:
+                if u[-1].isspace():  # the end of a text; it may join the white space of another unit
+                    self.learn([u])
+                else:
+                    new.append(u)
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and size < PIECE:
+                size += len(new[end])
+                end += 1
+            self.learn(new[at:end])
+            at = end
+
+    def text(self, stretches: Iterable[list[str]]) -> tuple[int, int, int, int, np.ndarray, np.ndarray, str]:
+        """Numbers of A and B tokens, groups and links, distinct codes and their numbers, and the hash of the groups, of a text's units."""
         digest, codes, sizes = hashlib.sha256(), [], np.zeros(3, np.int64)
-        for some in self.units(text) if text else ():
+        for some in stretches:
             groups, of, *counts = zip(*map(self.__getitem__, some))
             if None in groups:
                 codes.clear()
@@ -155,14 +175,34 @@ class Aligner(dict):
             if codes:
                 digest.update(b";")
             digest.update(";".join(groups).encode())
-            codes.append(np.fromiter(chain.from_iterable(of), np.int64))
+            codes.append(b"".join(of))
             sizes += [sum(c) for c in counts]
         if not codes:
             return 0, 0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64), ""
-        every = np.concatenate(codes)
+        every = np.frombuffer(b"".join(codes), "<i8")
         distinct, times = np.unique(every, return_counts=True)
         return *sizes.tolist(), len(every), distinct, times, digest.hexdigest()
 
+    def _prepared(self, text: str) -> Iterator[list[str]]:
+        for some in self.units(text):
+            self.prepare(some)
+            yield some
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray, str]]:
+        """What ``text`` gives, of each text; short ones are prepared together."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            text = text or ""
+            if len(text) < PIECE:
+                held.append([some for some in self.units(text)] if text else [])
+                size += len(text)
+            if size >= PIECE or len(text) >= PIECE or k + 1 == len(texts):
+                self.prepare([u for stretches in held for some in stretches for u in some])
+                yield from map(self.text, held)
+                held, size = [], 0
+            if len(text) >= PIECE:
+                yield self.text(self._prepared(text))
+
 
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -188,8 +228,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_p
         known, row = aligner(*paths), TaskContext.get().partitionId() << 40
         for ids, texts in slices(batches):
             rows = []
-            for id_, text in zip(ids, texts):
-                *sizes, codes, times, digest = known.text(text)
+            for id_, (*sizes, codes, times, digest) in zip(ids, known.texts(texts)):
                 rows.append((row, id_, *sizes, digest, codes.astype("<i8").tobytes(), times.astype("<u4").tobytes()))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], [*_NAMES, "codes", "times"])
@@ -206,7 +245,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pa
         known = aligner(*paths)
         for ids, texts in slices(batches):
             for id_, text in zip(ids, texts):
-                at, some = 0, [[known[u].groups for u in units] for units in known.units(text)] if text else []
+                at, some = 0, [[known[u][0] for u in units] for units in known._prepared(text)] if text else []
                 if any(None in part for part in some):
                     continue
                 for part in some:
