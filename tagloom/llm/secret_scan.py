@@ -5,6 +5,9 @@ ANDs). Each block of texts gets an inverted index of the trigrams which the quer
 are intersected and united, and only the candidates are verified with the regex itself. A rule
 without mandatory trigrams (such as a run of hex digits) scans every text of the block.
 
+A private key is its BEGIN line and all up to its END line, however far and whatever is between, unless another BEGIN or
+END line comes first; of a key that is cut off, the lines of base64 that follow.
+
 Defined results: a null or empty text has no spans; null ids stay as they are; repeated rows are
 scanned each; an empty table gives an empty result; other columns are not read.
 """
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +44,7 @@ class Rule:
     group: int = 0
     ignore_case: bool = False
     base: bool = False
+    closed: bool = False  # a match goes on to ``closing_end``
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.A | (re.I if self.ignore_case else 0))
@@ -56,16 +60,27 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", closed=True),
 )
 
-#: After a key's BEGIN line: all up to its END line, or of a key that is cut off the base64 that follows.
-_BODY = (
-    r"(?:(?:(?!-----(?:BEGIN|END)\x20)[\s\S]){0,32768}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
-    r"""|(?:(?:\s|\\[nrt]|["'+,>#*|])*+(?:(?:Proc-Type|DEK-Info):[^\n\\]*+|[A-Za-z0-9+/]{32,}+={0,2}))++(?:(?:\s|\\[nrt]|["'+,>#*|])*+[A-Za-z0-9+/]{1,31}+={0,2}(?=[\x20\t\r"']*+(?:\n|\\|\Z)))?)?"""
-)
-#: What scans look for: ``RULES``, which the SQL knows, with whole private keys.
-SCAN_RULES = tuple(replace(r, pattern=r.pattern + _BODY) if r.kind == "pem" else r for r in RULES)
+#: What is found after a key's BEGIN line: the next line of this kind, a key's END line, and a body that is cut off: whole lines of base64
+#: and headers, then one shorter line up to its end (groups 1, and 3 of what else is matched).
+_NEXT = r"-----(?:BEGIN|END) "
+_END = r"-----END [A-Z ]{0,24}PRIVATE KEY-----"
+_SEPARATED = r"""(?:[ \t\n\x0b\x0c\r"',>#*|]|\\[nrt])*"""
+_CUT_OFF = rf"""((?:{_SEPARATED}(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]{{32,}}={{0,2}}))*)(({_SEPARATED}[A-Za-z0-9+/]{{1,31}}={{0,2}})[ \t\r"']*(?:\n|\\|$))?"""
+_NEXT_RE, _END_RE, _CUT_OFF_RE = re.compile(_NEXT), re.compile(_END), re.compile(_CUT_OFF.replace("$", r"\Z"))
+
+
+def closing_end(text: str, at: int) -> int:
+    """Where the key ends whose BEGIN line ends at ``at``. Each call reads up to the next such line."""
+    following = _NEXT_RE.search(text, at)
+    if following and (end := _END_RE.match(text, following.start())):
+        return end.end()
+    cut_off = _CUT_OFF_RE.match(text, at)
+    if not cut_off.group(1):
+        return at
+    return cut_off.end(3) if cut_off.group(3) else cut_off.end(1)
 
 
 def trigram_query(pattern: str) -> Query:
@@ -179,7 +194,7 @@ class BlockIndex:
         return out
 
 
-def scan_texts(texts: list[str], rules: tuple[Rule, ...] = SCAN_RULES) -> list[list[tuple[str, int, int]]]:
+def scan_texts(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end; code points) of each text by start, then the order of ``rules``."""
     parts, wanted, lookup = _plan(rules)
     index = BlockIndex(texts, wanted, lookup)
@@ -188,7 +203,7 @@ def scan_texts(texts: list[str], rules: tuple[Rule, ...] = SCAN_RULES) -> list[l
         for i in index.candidates(query):
             for m in regex.finditer(texts[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    found[i].append((m.start(), order, m.end()))
+                    found[i].append((m.start(), order, closing_end(texts[i], m.end()) if rule.closed else m.end()))
     return [[(rules[k].kind, s, e) for s, k, e in sorted(x)] for x in found]
 
 
@@ -196,7 +211,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = SCAN_RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: its id and ``spans``, all matches of ``rules``. Map-side only."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -213,7 +228,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = SCAN_RULES) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mask``; overlapping spans are joined first."""
     at, schema = docs.columns.index(text_col), docs.schema
 
@@ -277,13 +292,22 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
   from (select r, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as x from d)""")
     base = ", ".join(f"'{rule.kind}'" for rule in rules if rule.base)
     counts = ", ".join(f"count(*) filter (kind = '{rule.kind}') as n_{rule.kind}" for rule in rules if rule.base)
-    span = "kind || ':' || p.s || ':' || (p.s + length(p.m))"
+    span = "kind || ':' || p.s || ':' || (p.s + length(p.m) + more)"
+    closed = ", ".join(f"'{rule.kind}'" for rule in rules if rule.closed) or "''"
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
     # a rule with a group has one before it, in its pattern and so in the match
     return f"""
 with d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as text from documents),
 m as ({" union all ".join(parts)}),
 k as (select * from m where length(case when g = 0 then p.m else regexp_extract(p.m, '{(spelled(next(r for r in rules if r.group).pattern)).replace("'", "''")}', 2) end) >= least),
-a as (select r, {counts}, string_agg({span}, ',' order by p.s, o) filter (kind in ({base})) as base, string_agg({span}, ',' order by p.s, o) as spans from k group by r)
+after_ as (select k.*, substr(d.text, cast(p.s + length(p.m) + 1 as bigint)) as rest from k join d using (r) where kind in ({closed})),
+upto as (select *, regexp_matches(rest, {quoted("(?s)^.*?" + _NEXT)}) as followed, length(regexp_extract(rest, {quoted("(?s)^(.*?)" + _NEXT)}, 1)) as n from after_),
+ends as (select *, length(regexp_extract(substr(rest, n + 1), {quoted("^" + _END)})) as e, length(regexp_extract(rest, {quoted("^" + _CUT_OFF)}, 1)) as whole, length(regexp_extract(rest, {quoted("^" + _CUT_OFF)}, 3)) as last from upto),
+every as (
+  select r, kind, o, p, 0 as more from k where kind not in ({closed})
+  union all
+  select r, kind, o, p, case when followed and e > 0 then n + e when whole > 0 then whole + last else 0 end from ends),
+a as (select r, {counts}, string_agg({span}, ',' order by p.s, o) filter (kind in ({base})) as base, string_agg({span}, ',' order by p.s, o) as spans from every group by r)
 select doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) as n_{rule.kind}" for rule in rules if rule.base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join a using (r)
 """
