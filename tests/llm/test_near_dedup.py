@@ -81,6 +81,20 @@ def test_texts_of_one_template_propose_few_pairs(spark):
     assert {(r.x, r.y) for r in n.candidates(main).collect()} == {(390, 389)}  # a pair of two in the main component is not proposed
 
 
+@pytest.mark.parametrize("pairs_a_member", [64, 0, 10**9])
+def test_texts_put_together_from_the_same_parts_propose_few_pairs(spark, monkeypatch, pairs_a_member):
+    monkeypatch.setattr(n, "BAND_PAIRS", pairs_a_member)
+    parts, rng, size = [words(100 + k, 60) for k in range(12)], random.Random(4), 600
+    texts = [" ".join(parts[k] for k in rng.sample(range(12), 6)) for _ in range(size)]
+    texts += [" ".join([*t.split()[:-3], f"e{k}", "f", "g"]) for k, t in enumerate(texts[:40])]  # near copies
+    sets = [n.shingles(t) for t in texts]
+    table = spark.createDataFrame([(1, i, i, True, bytearray(x.tobytes())) for i, x in enumerate(sets)], "root long, node long, label long, outer boolean, data binary")
+    got = {(r.y, r.x) for r in n.candidates(table).collect()}
+    sizes = np.array([len(x) for x in sets])
+    links = {(int(i), int(j)) for i, j in zip(*np.nonzero(n.linked(n.intersections(sets), sizes, sizes))) if i < j}
+    assert len(links) >= 40 and links <= {(min(p), max(p)) for p in got} and len(got) < 0.05 * size * size / 2
+
+
 def test_whole_table_equals_sql(spark, sf_dir):
     assert_same(n.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), n.ORACLE, sf_dir)
 
