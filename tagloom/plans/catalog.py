@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as geo
 from tagloom.functions import qr, text
-from tagloom.operators import candidates, export, frames, labels, nms, tiles, tracking
+from tagloom.operators import candidates, export, frames, labels, nms, pixels, tiles, tracking
 from tagloom.plans import fixtures as fx
 from tagloom.schema import EXPORT_COLUMNS
 from tagloom.sources import catalog as products
@@ -720,12 +720,7 @@ def _(df):
     return got.select("split", "file", "line_no", "normalized", *(r6(c, c) for c in labels.COORDS))
 
 
-@over("label_text", fx.LABELS, "select split, file, line_no, printf('%d %.6f %.6f %.6f %.6f', 0, cx, cy, w, h) as line from src where cx * 1000000 = floor(cx * 1000000)")
-def _(df):
-    return df.where("cx * 1000000 = floor(cx * 1000000)").select("split", "file", "line_no", labels.label_text(0).alias("line"))
-
-
-@over("label_text_all", fx.LABELS)  # every label; without SQL, whose printf may round otherwise: tests/test_text.py holds it against Python
+@over("label_text", fx.LABELS, "select split, file, line_no, '0 ' || cast(cast(cx as decimal(18, 6)) as varchar) || ' ' || cast(cast(cy as decimal(18, 6)) as varchar) || ' ' || cast(cast(w as decimal(18, 6)) as varchar) || ' ' || cast(cast(h as decimal(18, 6)) as varchar) as line from src")
 def _(df):
     return df.select("split", "file", "line_no", labels.label_text(0).alias("line"))
 
@@ -778,6 +773,100 @@ def _(df):
     return df.where(~F.col("image").endswith(".txt")).select("image").orderBy("image").limit(300)
 
 
+# ---- pixels
+
+_ROW, _COLUMN = "partition by frame_id, y order by x", "partition by frame_id, x order by y"
+_CLOSED = "src"
+for _along, _fold in ((_ROW, "max"), (_COLUMN, "max"), (_COLUMN, "min"), (_ROW, "min")):
+    _CLOSED = f"(select frame_id, y, x, {_fold}(mask) over ({_along} rows between 3 preceding and 3 following) as mask from {_CLOSED})"
+
+
+@over("closed_mask", fx.PIXEL_GRID, f"select frame_id, y, x, mask from {_CLOSED}")
+def _(df):
+    return pixels.closed(df, "mask").select("frame_id", "y", "x", "mask")
+
+
+_OTSU = """, bins as (select frame_id, level, count(*) as n from src group by 1, 2),
+sums as (select frame_id, level, cast(sum(n) over so_far as double) as w, cast(sum(level * n) over so_far as double) as m, cast(sum(n) over whole as double) as t, cast(sum(level * n) over whole as double) as every
+  from bins window so_far as (partition by frame_id order by level rows unbounded preceding), whole as (partition by frame_id)),
+b as (select frame_id, level, case when w < t then (every * w - m * t) * (every * w - m * t) / (w * (t - w)) else 0 end as b from sums),
+best as (select frame_id, cast(case when b > 0 then level else 0 end as bigint) as threshold from (select *, row_number() over (partition by frame_id order by b desc, level) as k from b) where k = 1)
+"""
+
+
+@over("otsu_threshold", fx.PIXEL_GRID, _OTSU + "select frame_id, threshold from best")
+def _(df):
+    return pixels.otsu_threshold(df, "level")
+
+
+@over("otsu_binary", fx.PIXEL_GRID, _OTSU + "select src.frame_id, y, x, cast(case when level > threshold then 255 else 0 end as int) as level from src join best on best.frame_id = src.frame_id")
+def _(df):
+    return pixels.otsu(df, "level").select("frame_id", "y", "x", "level")
+
+
+def _blur_sql(weights: list[float]) -> str:
+    made = "(select *, cast(level as double) as v from src)"
+    for along in (_ROW, _COLUMN):
+        whole = f"({along} rows between unbounded preceding and unbounded following)"
+        near = lambda i: f"coalesce({'lag' if i < 0 else 'lead'}(v, {abs(i)}) over ({along}), {'first' if i < 0 else 'last'}_value(v) over {whole})" if i else "v"  # noqa: B023, E731
+        made = f"(select * exclude (v), {' + '.join(f'cast({w!r} as double) * {near(i)}' for i, w in enumerate(weights, -(len(weights) // 2)))} as v from {made})"
+    return made
+
+
+@over("adaptive_threshold", fx.PIXEL_GRID, f"select frame_id, y, x, cast(case when level > floor(round(v, 6) + 0.5) - 2 then 255 else 0 end as int) as level from {_blur_sql(pixels.gaussian_weights(11))}")
+def _(df):
+    return pixels.adaptive_threshold(df, "level").select("frame_id", "y", "x", "level")
+
+
+@over("box_threshold", fx.PIXEL_GRID, """select a.frame_id, a.y, a.x, cast(case when any_value(a.level) > floor(round(avg(b.level), 6) + 0.5) - 2 then 255 else 0 end as int) as level
+from src a join src b on a.frame_id = b.frame_id and b.x between a.x - 5 and a.x + 5 and b.y between a.y - 5 and a.y + 5 group by 1, 2, 3""")
+def _(df):
+    return pixels.adaptive_threshold(df, "level", smooth=False).select("frame_id", "y", "x", "level")
+
+
+def _laplace_sql(along: str) -> str:
+    before, after = f"lag(level) over ({along})", f"lead(level) over ({along})"
+    return f"coalesce({before}, {after}, level) + coalesce({after}, {before}, level) - 2 * level"
+
+
+@over("blur_gate", fx.PIXEL_GRID, f"""select frame_id, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, round(var_pop(cast(l as double)), 6) as blur, max(x) >= 31 and max(y) >= 15 and var_pop(cast(l as double)) >= 8000 as readable
+from (select *, {_laplace_sql(_ROW)} + {_laplace_sql(_COLUMN)} as l from src) group by frame_id""")
+def _(df):
+    return pixels.readable(pixels.sharpness(df, "level", ("frame_id",)), 32, least_blur=8000).withColumn("blur", r6("blur", "blur"))
+
+
+@over("equalized_levels", fx.PIXEL_GRID, """, shape as (select frame_id, cast(ceil((max(x) + 1) / 8) as bigint) as xs, cast(ceil((max(y) + 1) / 8) as bigint) as ys, max(x) + 1 as w, max(y) + 1 as h from src group by 1),
+p as (select src.*, xs, ys, w, h, x // xs as xt, y // ys as yt from src join shape on shape.frame_id = src.frame_id),
+c as (select frame_id, xt, yt, level, count(*) as n from p group by 1, 2, 3, 4), area as (select frame_id, xt, yt, sum(n) as area from c group by 1, 2, 3),
+bins as (select a.frame_id, a.xt, a.yt, l.level, area, coalesce(n, 0) as n, greatest(cast(floor(3.0 * area / 256) as bigint), 1) as cut from area a cross join (select unnest(range(256)) as level) l
+  left join c on c.frame_id = a.frame_id and c.xt = a.xt and c.yt = a.yt and c.level = l.level),
+o as (select *, sum(greatest(n - cut, 0)) over (partition by frame_id, xt, yt) as over_ from bins),
+d as (select *, greatest(256 // greatest(over_ % 256, 1), 1) as step from o),
+e as (select frame_id, xt, yt, level, area, least(n, cut) + over_ // 256 + case when level % step = 0 and level // step < over_ % 256 then 1 else 0 end as n from d),
+maps as (select frame_id, xt, yt, level, round_even(sum(n) over (partition by frame_id, xt, yt order by level rows unbounded preceding) * cast(255 as double) / area, 0) as t from e),
+f as (select frame_id, y, x, level, cast(x as double) / xs - 0.5 as fx, cast(y as double) / ys - 0.5 as fy, (w - 1) // xs as lx, (h - 1) // ys as ly from p),
+g as (select *, greatest(floor(fx), 0) as x0, least(floor(fx) + 1, lx) as x1, greatest(floor(fy), 0) as y0, least(floor(fy) + 1, ly) as y1, fx - floor(fx) as ax, fy - floor(fy) as ay from f),
+four as (select frame_id, y, x, level, unnest([{'xt': x0, 'yt': y0, 'w': (1 - ax) * (1 - ay)}, {'xt': x1, 'yt': y0, 'w': ax * (1 - ay)}, {'xt': x0, 'yt': y1, 'w': (1 - ax) * ay}, {'xt': x1, 'yt': y1, 'w': ax * ay}]) as c from g)
+select four.frame_id, y, x, cast(floor(round(sum(c.w * t) / sum(c.w), 6) + 0.5) as int) as level from four join maps on maps.frame_id = four.frame_id and maps.xt = c.xt and maps.yt = c.yt and maps.level = four.level group by 1, 2, 3""")
+def _(df):
+    return pixels.equalized(df.select("frame_id", "y", "x", "level"), "level")
+
+
+@over("mask_regions", fx.PIXEL_GRID, f"""with recursive src as ({fx.PIXEL_GRID}), p as (select frame_id, y, x, y * 32 + x as n from src where mask > 0),
+e as (select a.frame_id, a.n as a, b.n as b from p a join p b on a.frame_id = b.frame_id and b.x between a.x - 1 and a.x + 1 and b.y between a.y - 1 and a.y + 1),
+r as (select frame_id, n, n as root from p union select e.frame_id, e.b, r.root from r join e on e.frame_id = r.frame_id and e.a = r.n),
+m as (select frame_id, n, min(root) as root from r group by 1, 2)
+select p.frame_id, cast(min(x) as bigint) as x1, cast(min(y) as bigint) as y1, cast(max(x) + 1 as bigint) as x2, cast(max(y) + 1 as bigint) as y2, count(*) as pixels from p join m on m.frame_id = p.frame_id and m.n = p.n group by p.frame_id, root""")
+def _(df):
+    return pixels.regions(df, "mask", stripe=8)
+
+
+@over("mask_axis", fx.PIXEL_GRID, """select frame_id, count(*) as pixels, round(avg(x), 6) as mid_x, round(avg(y), 6) as mid_y, round(degrees(atan2(2 * covar_pop(cast(x as double), cast(y as double)), var_pop(cast(x as double)) - var_pop(cast(y as double)))) / 2, 6) as angle
+from src where mask > 0 group by 1""")
+def _(df):
+    return pixels.principal_axis(df, "mask").withColumns({c: r6(c, c) for c in ("mid_x", "mid_y", "angle")})
+
+
 # ---- tracking
 
 _FRAMES_OF = f"select v.video_id, f.frame_id from (select distinct video_id from ({fx.TDET}) t) v cross join (select explode(sequence(cast(0 as bigint), cast(99 as bigint))) as frame_id) f"

@@ -96,6 +96,12 @@ DENSITY = "select user_id%7 as video_id, event_id as frame_id, cast((event_id*37
 FRAME_TIMES = "select user_id%7 as video_id, event_id as frame_id, cast(floor(event_id/32) as double)/8 as done_at from events"
 #: Pixels of a few frames.
 PIXELS = "select event_id%6 as video_id, event_id as pixel_id, cast((event_id*7919)%256 as int) as s, cast((event_id*104729)%256 as int) as v, cast((event_id*31)%181 as int) as h from events"
+#: Dense frames of 32 by 32 pixels: a level and a sparse mask.
+PIXEL_GRID = """
+select frame_id, y, x, cast(case when (cast(floor((x+frame_id)/6) as int)+cast(floor(y/5) as int))%2=0 then 60 else 170 end + (event_id*7919)%61 - 30 as int) as level,
+  cast(case when (event_id*7919+frame_id*131+y*y*17)%101 < 26 then 255 else 0 end as int) as mask from (
+  select event_id, cast(floor(event_id/1024) as bigint) as frame_id, cast(floor((event_id%1024)/32) as int) as y, cast(event_id%32 as int) as x from events) e
+"""
 TABLES = ("events", "part")
 
 

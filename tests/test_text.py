@@ -83,5 +83,5 @@ def test_label_text_of_the_whole_table(spark, sf_dir):
 
     rows = fx.view(spark, sf_dir, fx.LABELS).collect()
     expected = sorted((r.split, r.file, r.line_no, f"0 {r.cx:.6f} {r.cy:.6f} {r.w:.6f} {r.h:.6f}") for r in rows)
-    got = sorted(tuple(r) for r in catalog.queries()["label_text_all"](spark, sf_dir).collect())
+    got = sorted(tuple(r) for r in catalog.queries()["label_text"](spark, sf_dir).collect())
     assert got == expected and len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
