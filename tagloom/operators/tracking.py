@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import config
-from tagloom.functions.geometry import boosted
+from tagloom.functions.geometry import boosted, expand_crop
 from tagloom.operators.assignment import best_assignment
 from tagloom.operators.frames import target_confidence
 from tagloom.operators.nms import merge_sources, suppress
@@ -133,13 +133,19 @@ _NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 def track_frame(tracker: TagTracker, video: int, frame: int, rows: list[tuple]) -> list[tuple]:
     """Output rows of one frame: every track that is active or new, with the box that it took (``det_ord``)."""
+    return seen_frame(tracker, video, frame, rows)[0]
+
+
+def seen_frame(tracker: TagTracker, video: int, frame: int, rows: list[tuple]) -> tuple[list[tuple], int]:
+    """Output rows of one frame, and its boxes and active tracks counted together. New tracks are active
+    ones too if others were there before."""
     new, active, place = tracker.update([r[1:] for r in rows], frame)
     fresh = {t.track_id for t in new}
     every = active + [t for t in new if t.track_id not in {a.track_id for a in active}]
     return [
         (video, frame, rows[place[t.track_id]][0] if t.track_id in place else None, t.track_id, t.track_id in fresh, t.track_id in place, *t.box, t.conf, t.tag_type, t.first_seen, t.last_seen, t.missed)
         for t in every
-    ]
+    ], len(rows) + len(active)
 
 
 def _frames_of(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, int, list[tuple]]]:
@@ -205,7 +211,7 @@ def _frame():
 def cascade(detections: DataFrame, frames: DataFrame, settings: config.Settings = config.Settings()) -> DataFrame:
     """The frame pipeline: sources merged, the detector's boxes left out while it rests, tracked.
     Both merges of a frame (with the detector, and colour alone) are made by Spark; the state picks one.
-    Columns as in ``OUT``, and ``ran_model``."""
+    Columns as in ``OUT``, ``ran_model``, and ``n_seen``: the frame's boxes and active tracks."""
     keys = ["video_id", "frame_id"]
     columns = ["x1", "y1", "x2", "y2", "conf"]
     # corners are cut to whole pixels before boxes are merged
@@ -227,21 +233,42 @@ def cascade(detections: DataFrame, frames: DataFrame, settings: config.Settings
             if run_model:
                 tracker.detected()
             mine = [r[:-1] for r in rows if bool(r[-1]) == run_model]
-            held += [(*r, run_model) for r in track_frame(tracker, v, frame, mine)]
+            made, seen = seen_frame(tracker, v, frame, mine)
+            held += [(*r, run_model, seen) for r in made]
             if len(held) >= 4096:
-                yield pd.DataFrame(held, columns=[*_NAMES, "ran_model"])
+                yield pd.DataFrame(held, columns=[*_NAMES, "ran_model", "n_seen"])
                 held = []
         if held:
-            yield pd.DataFrame(held, columns=[*_NAMES, "ran_model"])
+            yield pd.DataFrame(held, columns=[*_NAMES, "ran_model", "n_seen"])
+
+    return _ordered(both, frames, [*columns, "tag_type", "full"]).mapInPandas(run, f"{OUT}, ran_model boolean, n_seen int")
 
-    return _ordered(both, frames, [*columns, "tag_type", "full"]).mapInPandas(run, f"{OUT}, ran_model boolean")
+
+def results(tracks: DataFrame, lines: DataFrame, frames: DataFrame, boost: config.Boost = config.Boost(), factor: int = 5, compat: bool = False) -> DataFrame:
+    """What every frame gives (``emitted``), with the ``texts`` of each tag.
+
+    ``lines`` (video_id, frame_id, line_no, x, y, text) is what there is to read in a frame; ``frames`` has frame_w and
+    frame_h. A tag is read where it was found, from the lines within its widened box, until something was
+    read; that reading stays with its track.
+    """
+    keys = ["video_id", "frame_id"]
+    found = tracks.where("matched or is_new").join(frames.select(*keys, "frame_w", "frame_h"), keys)
+    crop = expand_crop(F.struct(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), F.col("frame_w"), F.col("frame_h"), factor)
+    found = found.select(*keys, "track_id", crop.alias("_b"))
+    near = found.join(lines.where("text <> ''"), keys).where(F.col("x").between(F.col("_b.x1"), F.col("_b.x2") - 1) & F.col("y").between(F.col("_b.y1"), F.col("_b.y2") - 1))
+    item = F.struct("line_no", "text")
+    read = near.groupBy(*keys, "track_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["text"]).alias("_t"))
+    first = read.groupBy("video_id", "track_id").agg(F.min(F.struct("frame_id", "_t")).alias("_r"))  # a row a track: the first reading
+    first = first.select("video_id", "track_id", F.col("_r.frame_id").alias("_since"), F.col("_r._t").alias("_t"))
+    out = emitted(tracks, boost, compat).join(first, ["video_id", "track_id"], "left")
+    texts = F.when(F.col("frame_id") >= F.col("_since"), F.col("_t")).otherwise(F.array().cast("array<string>"))
+    return out.select(*keys, "track_id", "x1", "y1", "x2", "y2", "conf", "tag_type", "tracked", texts.alias("texts"))
 
 
 def aimed_confidence(tracks: DataFrame, frames: DataFrame, **limits: float) -> DataFrame:
-    """Per frame of the pipeline the number of boxes and known tracks, its median over the last frames, and the
+    """Per frame of the pipeline the number of boxes and active tracks (``n_seen``), its median over the last frames, and the
     confidence that the detector should aim at (``target_confidence``); ``smoothed`` folds them."""
-    seen = F.count_if(F.col("matched") | F.col("is_new")) + F.count_if(~F.col("is_new"))
-    counts = tracks.groupBy("video_id", "frame_id").agg(seen.alias("n"))
+    counts = tracks.groupBy("video_id", "frame_id").agg(F.max("n_seen").alias("n"))
     every = frames.select("video_id", "frame_id").distinct().join(counts, ["video_id", "frame_id"], "left").fillna(0, ["n"])
     return target_confidence(every, **limits)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as geo
 from tagloom.functions import qr, text
-from tagloom.operators import candidates, export, frames, labels, nms, pixels, tiles, tracking
+from tagloom.operators import candidates, detection, export, frames, labels, nms, pixels, tiles, tracking
 from tagloom.plans import fixtures as fx
 from tagloom.schema import EXPORT_COLUMNS
 from tagloom.sources import catalog as products
@@ -922,11 +922,34 @@ def _(df):
     return frames.frame_rate(df, "video_id", "frame_id", "done_at").select("video_id", "frame_id", "frames", r6("elapsed", "elapsed"), r6("per_second", "per_second"))
 
 
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = fx.view(spark, sf_dir, fx.DET).withColumn("video_id", F.floor(F.col("frame_id") / 100)).withColumn("tag_type", F.lit(""))
+    sizes = fx.view(spark, sf_dir, fx.FRAMES).withColumn("video_id", F.floor(F.col("frame_id") / 100))
+    return tracking.cascade(found, sizes), sizes
+
+
 @query("frame_pipeline")
 def _(spark, sf_dir):
     """Merging, model gating and tracking together; the state cannot be put in SQL, so a simulation tests it."""
-    found = fx.view(spark, sf_dir, fx.DET).withColumn("video_id", F.floor(F.col("frame_id") / 100)).withColumn("tag_type", F.lit(""))
-    return tracking.cascade(found, found.select("video_id", "frame_id").distinct())
+    return _cascade(spark, sf_dir)[0]
+
+
+@query("frame_results")
+def _(spark, sf_dir):
+    """What the frame pipeline gives for every frame, with each tag's reading; tested by the same simulation."""
+    tracks, sizes = _cascade(spark, sf_dir)
+    return tracking.results(tracks, fx.view(spark, sf_dir, fx.FRAME_LINES), sizes)
+
+
+@query("frame_density")
+def _(spark, sf_dir):
+    """The confidence that the frame pipeline aims at, frame by frame; tested by the same simulation."""
+    return tracking.aimed_confidence(*_cascade(spark, sf_dir))
+
+
+@over("pixel_candidates", fx.COLOR_GRID)  # regions and suppression in one: tests/test_detection.py holds it against plain Python
+def _(df):
+    return detection.detect(df, size=3, min_w=3, min_h=2)
 
 
 def queries() -> dict[str, Query]:

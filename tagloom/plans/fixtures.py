@@ -102,6 +102,18 @@ select frame_id, y, x, cast(case when (cast(floor((x+frame_id)/6) as int)+cast(f
   cast(case when (event_id*7919+frame_id*131+y*y*17)%101 < 26 then 255 else 0 end as int) as mask from (
   select event_id, cast(floor(event_id/1024) as bigint) as frame_id, cast(floor((event_id%1024)/32) as int) as y, cast(event_id%32 as int) as x from events) e
 """
+#: What can be read in the frames of the detection view: a line in the middle of some boxes.
+FRAME_LINES = f"""
+select cast(floor(frame_id/100) as bigint) as video_id, frame_id, det_ord as line_no, floor((x1+x2)/2) as x, floor((y1+y2)/2) as y,
+  case when det_id%4=0 then '' else cast(det_id%900 as string) || '.50 rub ' || cast(det_id%17 as string) end as text from ({DET}) d where det_id%37 = 0
+"""
+#: Colours of dense frames of 32 by 32 pixels, six frames a video: blocks of white, red and yellow on grey.
+COLOR_GRID = """
+select video_id, frame_id, y, x, cast(case when kind=1 then 3+noise%4 when kind=2 then 28 else 90 end as int) as h, cast(case when kind=0 then 8+noise%12 when kind=3 then 60+noise%30 else 150+noise%40 end as int) as s,
+  cast(case when kind=0 then 200+noise%40 when kind=3 then 70+noise%50 else 210+noise%30 end as int) as v from (
+  select video_id, frame_id, y, x, noise, case when (y+frame_id)%16 < 9 and (x+video_id)%11 < 8 then (cast(floor((y+frame_id)/16) as int)*3+cast(floor((x+video_id)/11) as int)+frame_id)%3 else 3 end as kind from (
+  select cast(floor(event_id/6144) as bigint) as video_id, cast(floor(event_id/1024) as bigint) as frame_id, cast(floor((event_id%1024)/32) as int) as y, cast(event_id%32 as int) as x, (event_id*7919)%101 as noise from events) e) k
+"""
 TABLES = ("events", "part")
 
 

@@ -59,15 +59,26 @@ def test_pipeline_equals_simulation(spark, sf_dir):
         found = found.withColumn(c, F.col(c) + (F.col("det_ord") % 4) * 0.2 + k * 0.05)
     frames = found.select("video_id", "frame_id").distinct()
     got = {(r.frame_id, r.track_id): (r.ran_model, r.missed, round(r.conf, 6)) for r in tracking.cascade(found, frames).collect()}
-    settings, t, expected = config.Settings(), TagTracker(config.Settings().tracker), {}
-    rows = sorted(map(tuple, found.select("frame_id", "det_ord", *(F.expr(f"cast(cast({c} as long) as double)").alias(c) for c in ("x1", "y1", "x2", "y2")), "conf", "source").collect()))
+    expected = {}
+    for (video, frame), f in simulated(found).items():
+        for x in {x[0]: x for x in f["every"]}.values():
+            expected[frame, x[0]] = (f["run"], x[2], round(x[1], 6))
+    assert got == expected and {v[0] for v in got.values()} == {True, False}
+
+
+def simulated(found):
+    """Frame by frame: what the pipeline does with its detections, in plain Python but for the assignment."""
+    settings, video_now, t, out = config.Settings(), None, None, {}
+    rows = sorted(map(tuple, found.select("video_id", "frame_id", "det_ord", *(F.expr(f"cast(cast({c} as long) as double)").alias(c) for c in ("x1", "y1", "x2", "y2")), "conf", "source").collect()))
 
     def iou(a, b):
         w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
         return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h + 1e-6)
 
-    for frame, group in itertools.groupby(rows, key=lambda r: r[0]):
-        group = list(group)
+    for (video, frame), group in itertools.groupby(rows, key=lambda r: r[:2]):
+        if video != video_now:
+            video_now, t = video, TagTracker(settings.tracker)
+        group = [r[1:] for r in group]
         run = t.should_detect(settings.cascade)
         if run:
             t.detected()
@@ -78,9 +89,38 @@ def test_pipeline_equals_simulation(spark, sf_dir):
             if all(iou(r[2:6], s[:4]) < 0.45 for s in stay):
                 stay.append((*r[2:7], "color"))
         new, active, _ = t.update(yolo + stay, frame)
-        for x in {x.track_id: x for x in active + new}.values():
-            expected[frame, x.track_id] = (run, x.missed, round(x.conf, 6))
-    assert got == expected and {v[0] for v in got.values()} == {True, False}
+        made = {x.track_id for x in new}
+        of = lambda x: (x.track_id, x.conf, x.missed, x.box, x.age, x.tag_type)
+        out[video, frame] = {"run": run, "merged": len(yolo + stay), "new": made, "seen": len(yolo + stay) + len(active), "every": [of(x) for x in active + new], "active": [of(x) for x in active]}
+    return out
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_results_of_frames_equal_the_simulation(spark, sf_dir, compat):
+    found = fx.view(spark, sf_dir, fx.DET).withColumn("video_id", F.floor(F.col("frame_id") / 100)).withColumn("tag_type", F.lit(""))
+    sizes = fx.view(spark, sf_dir, fx.FRAMES).withColumn("video_id", F.floor(F.col("frame_id") / 100))
+    lines = fx.view(spark, sf_dir, fx.FRAME_LINES)
+    size = {(r.video_id, r.frame_id): (r.frame_w, r.frame_h) for r in sizes.collect()}
+    read = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.frame_id, r.line_no)):
+        read.setdefault((r.video_id, r.frame_id), []).append((r.x, r.y, r.text))
+    cache, expected = {}, []
+    for (video, frame), f in simulated(found).items():
+        w, h = size[video, frame]
+
+        def reading(box):
+            pad = max(64, int(max(box[2] - box[0], box[3] - box[1]) * 4 / 2))
+            x1, y1, x2, y2 = int(max(0, box[0] - pad)), int(max(0, box[1] - pad)), int(min(w, box[2] + pad)), int(min(h, box[3] + pad))
+            return [t for x, y, t in read.get((video, frame), []) if t and x1 <= x < x2 and y1 <= y < y2]  # noqa: B023
+
+        rows = [(x, True) for x in f["active"] if compat or x[0] not in f["new"]] + [(x, False) for x in {x[0]: x for x in f["every"]}.values() if x[0] in f["new"]]
+        for (track, conf, missed, box, age, kind), known in rows:
+            if missed == 0 and not cache.get((video, track)):
+                cache[video, track] = reading(box)
+            shown = min(conf * (1 + min(age * 0.03, 1.3 - 1)), 1.0) if known else conf
+            expected.append((frame, track, known, *box, round(shown, 6), kind, tuple(cache.get((video, track), ()))))
+    got = [(r.frame_id, r.track_id, r.tracked, r.x1, r.y1, r.x2, r.y2, round(r.conf, 6), r.tag_type, tuple(r.texts)) for r in tracking.results(tracking.cascade(found, sizes), lines, sizes, compat=compat).collect()]
+    assert sorted(got) == sorted(expected) and any(r[-1] for r in got) and any(not r[-1] for r in got)
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
@@ -112,8 +152,9 @@ def test_confidence_that_the_pipeline_aims_at(spark, sf_dir):
     frames = found.select("video_id", "frame_id").distinct()
     tracks = tracking.cascade(found, frames)
     counts = {}
-    for r in tracks.collect():
-        counts[r.video_id, r.frame_id] = counts.get((r.video_id, r.frame_id), 0) + (r.matched or r.is_new) + (not r.is_new)
+    for (video, frame), f in simulated(found).items():
+        counts[video, frame] = f["seen"]
+    assert any(f["new"] and f["seen"] != f["merged"] for f in simulated(found).values())
     videos, aims = {}, {}
     for video, frame in sorted(map(tuple, frames.collect())):
         videos.setdefault(video, []).append(counts.get((video, frame), 0))
