@@ -55,8 +55,9 @@ BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 1 << 21
 UNIT_SHINGLES = 1 << 18
 #: Largest groups of a cluster against which all its groups are tested.
 PIVOTS = 8
-#: Coordinates in which sketches of one byte each agree at least; pairs a member that bands may give before the prefix filter is tried.
-AGREE, BAND_PAIRS = 284, 64
+#: Coordinates in which sketches of one byte each agree at least; pairs a shingle that bands may give before the prefix filter, which
+#: writes and sorts shingles, is tried.
+AGREE, BAND_PAIRS = 284, 2
 #: Bits of the filter that tells which documents' sets are needed; a fixed size, so it can be sent to tasks.
 FILTER_BITS = 1 << 26
 
@@ -293,7 +294,7 @@ def _band_heads(shaped: DataFrame) -> DataFrame:
 
 def _prefix_heads(placed: DataFrame) -> DataFrame:
     """A row for each shingle at the head of each set: the first 15 % in an order from the cluster's rarest on."""
-    items = written(bounded(placed.select("root", "node", "data")).mapInArrow(_items, "root bigint, node bigint, item bigint"))
+    items = bounded(placed.select("root", "node", "data")).mapInArrow(_items, "root bigint, node bigint, item bigint")
     often = items.groupBy("root", "item").agg(F.count("*").alias("k")).where("k > 1")
     ranked = items.join(often, ["root", "item"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("k", "item")))  # one text's shingles
@@ -315,10 +316,10 @@ def candidates(placed: DataFrame) -> DataFrame:
     (once each), ``label`` (what is connected), ``outer`` (whether pairs of it are wanted; one of a pair must be) and ``data``."""
     placed = placed.withColumn("n", F.expr("length(data) div 8"))
     shaped = written(bounded(placed).mapInArrow(_sketched, "root bigint, node bigint, label bigint, outer boolean, n bigint, bands binary, fine binary"))
-    heads = written(_band_heads(shaped))
+    heads = _band_heads(shaped)
     items, by_bands = _open(heads)
-    by_bands = written(shaped.groupBy("root").agg(F.count("*").alias("members")).join(by_bands, "root"))
-    dense = written(by_bands.where(F.col("pairs") > BAND_PAIRS * F.col("members")).select("root", "pairs"))
+    by_bands = shaped.groupBy("root").agg(F.sum("n").alias("shingles")).join(by_bands, "root")
+    dense = written(by_bands.where(F.col("pairs") > BAND_PAIRS * F.col("shingles")).select("root", "pairs"))
     heads = heads.join(items, ["root", "item"])
     fine = shaped.select("node", "fine")
 

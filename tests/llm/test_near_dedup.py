@@ -81,9 +81,9 @@ def test_texts_of_one_template_propose_few_pairs(spark):
     assert {(r.x, r.y) for r in n.candidates(main).collect()} == {(390, 389)}  # a pair of two in the main component is not proposed
 
 
-@pytest.mark.parametrize("pairs_a_member", [64, 0, 10**9])
-def test_texts_put_together_from_the_same_parts_propose_few_pairs(spark, monkeypatch, pairs_a_member):
-    monkeypatch.setattr(n, "BAND_PAIRS", pairs_a_member)
+@pytest.mark.parametrize("pairs_a_shingle", [2, 0, 10**9])
+def test_texts_put_together_from_the_same_parts_propose_few_pairs(spark, monkeypatch, pairs_a_shingle):
+    monkeypatch.setattr(n, "BAND_PAIRS", pairs_a_shingle)
     parts, rng, size = [words(100 + k, 60) for k in range(12)], random.Random(4), 600
     texts = [" ".join(parts[k] for k in rng.sample(range(12), 6)) for _ in range(size)]
     texts += [" ".join([*t.split()[:-3], f"e{k}", "f", "g"]) for k, t in enumerate(texts[:40])]  # near copies
