@@ -2,8 +2,12 @@
 
 Base patterns give exact spans. High-recall generators, two for each kind, propose further spans in the
 text that the base spans leave; proposals of a kind or of several may overlap. Boosted trees over format
-and context features score each proposal, a threshold by kind selects, and of overlapping selected
-neighbours the one further above its threshold stays. No format test stands before the trees.
+and context features score each proposal, and a threshold by kind selects. Of selected spans that overlap, the one
+furthest above its threshold stays (the first of equal ones), what overlaps it goes, then the next of what is left. No
+format test stands before the trees.
+
+Bounds of the generators: a local part is proposed up to 64 characters and a label up to 63 (limits of addresses and
+names), numbers of at most six groups. Base patterns have no such bounds.
 
 Trees are trained on the driver, on examples made from templates and on proposals in a sample of the
 documents themselves, of ``SAMPLE`` ids: what is proposed there and is of no full format counts as a hard
@@ -47,8 +51,6 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
 }
-#: A text without this cannot match the base pattern.
-_NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: High-recall generators by kind.
 GENERATORS = {
     "email": (
@@ -349,7 +351,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models
         out = out.withColumn(f"_c_{k}", F.filter(f"_c_{k}", lambda c: c["over"] >= 0))
     every = F.array_sort(F.concat(*(f"_c_{k}" for k in KINDS)))
     out = out.withColumn("_c", F.when(F.size(F.concat(*(f"_c_{k}" for k in KINDS))) > 1, every).otherwise(F.concat(*(f"_c_{k}" for k in KINDS))))
-    out = out.withColumn("_c", F.filter("_c", partial(_stays, F.col("_c"))))
+    out = out.withColumn("_c", F.when(F.size("_c") > 1, _disjoint(F.col("_c"))).otherwise(F.col("_c")))
     added = F.concat(*(_tagged(_only("_c", partial(_is, k), "kind"), k) for k in KINDS))
     return out.select(F.col("_id").alias(id_col), F.concat(*(_tagged(f"_b_{k}", k) for k in KINDS)).alias("base"), added.alias("added"))
 
@@ -359,11 +361,28 @@ def _weighed(kind: str, forest: boosting.Forest, threshold: float, c: Column) ->
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), (as_column(forest, c["f"]) - F.lit(threshold)).alias("over"), F.lit(kind).alias("kind"))
 
 
-def _stays(every: Column, c: Column, i: Column) -> Column:
-    """Whether no overlapping neighbour (in order of starts) is further above its threshold; of equals the first stays."""
-    before, after = F.get(every, i - 1), F.get(every, i + 1)
-    beaten = (before["end"] > c["start"]) & (before["over"] >= c["over"]) | (after["start"] < c["end"]) & (after["over"] > c["over"])
-    return ~F.coalesce(beaten, F.lit(False))
+def _settled(run: Column) -> Column:
+    """Of a run of spans those that stay: by how far they are above their threshold, each unless one that stays overlaps it."""
+    ranked = F.array_sort(F.transform(run, lambda c: F.struct((-c["over"]).alias("o"), c["start"].alias("start"), c.alias("c"))))
+    best = F.transform(ranked, lambda c: c["c"])
+
+    def add(chosen: Column, c: Column) -> Column:
+        return F.when(F.exists(chosen, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"])), chosen).otherwise(F.concat(chosen, F.array(c)))
+
+    return F.when(F.size(run) > 1, F.array_sort(F.aggregate(best, F.slice(best, 1, 0), add))).otherwise(run)
+
+
+def _disjoint(every: Column) -> Column:
+    """Spans, in order of starts, without those that lose to others. Runs of overlapping spans are settled one by one, so
+    the work follows their length, not the text's."""
+    none = F.slice(every, 1, 0)
+    state = lambda done, run, end: F.struct(done.alias("done"), run.alias("run"), end.alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        begun = state(F.concat(s["done"], _settled(s["run"])), F.array(c), c["end"].cast("long"))
+        return F.when(c["start"] >= s["end"], begun).otherwise(state(s["done"], F.concat(s["run"], F.array(c)), F.greatest(s["end"], c["end"].cast("long"))))
+
+    return F.aggregate(every, state(none, none, F.lit(0).cast("long")), step, lambda s: F.concat(s["done"], _settled(s["run"])))
 
 
 def _only(array: Column | str, test: Callable[[Column], Column], field: str | None = None) -> Column:

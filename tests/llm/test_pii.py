@@ -1,6 +1,6 @@
 import hashlib
+import random
 import re
-from functools import partial
 
 import numpy as np
 import pytest
@@ -89,11 +89,21 @@ def test_precision_and_recall_on_other_templates(spark, models):
         assert truth[chosen].mean() >= 0.97 and chosen[truth].mean() >= 0.85, kind
 
 
-def test_neighbours_that_overlap(spark):
-    spans = [(0, 10, 1.0), (5, 12, 2.0), (20, 30, 1.0), (20, 30, 1.0), (30, 35, 0.0), (40, 50, 3.0), (45, 60, 1.0), (55, 70, 2.0)]
-    df = spark.createDataFrame([(spans,)], "c array<struct<start:long,end:long,over:double>>")
-    got = df.select(F.filter("c", partial(pii._stays, F.col("c"))).alias("c")).first().c
-    assert [tuple(x) for x in got] == [spans[i] for i in (1, 2, 4, 5, 7)]
+def test_spans_that_overlap(spark):
+    def plain(spans):
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[2], s)):
+            if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+                kept.append(s)
+        return sorted(kept)
+
+    rng = random.Random(3)
+    cases = [[(0, 100, 9.0), (5, 10, 1.0), (20, 30, 2.0), (40, 50, 3.0)], [(0, 10, 1.0), (5, 15, 2.0), (12, 20, 3.0)], [(0, 10, 1.0), (0, 10, 1.0)], [(3, 5, 0.0)], []]
+    cases += [sorted({(a := rng.randrange(n), a + rng.randrange(1, 20), float(rng.randrange(9))) for _ in range(n)}) for n in (5, 30, 300)]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, c array<struct<start:long,end:long,over:double>>")
+    got = {r.k: [tuple(x) for x in r.c] for r in df.select("k", pii._disjoint(F.array_sort("c")).alias("c")).collect()}
+    assert [got[k] for k in range(len(cases))] == [plain(c) for c in cases]
+    assert got[0] == [(0, 100, 9.0)] and got[1] == [(0, 10, 1.0), (12, 20, 3.0)]
 
 
 def test_documents_give_hard_negatives(spark, sf_dir):
