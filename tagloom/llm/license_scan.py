@@ -6,6 +6,10 @@ templates outside these size bounds are not compared; nor is one without enough
 through a map from bigrams to templates. Windows begin and end at bigrams of their template (others
 only lower Dice): each bigram in the text that may begin one is tried with all ends in the bounds.
 
+Licences of a family differ by a word or a number only, less than Dice tells. A notice (a template of up to ``NOTICE_WORDS``)
+matches only what has the same telling words (such as ShareAlike or Lesser) and the same version as itself, so a
+relative without a template matches nothing.
+
 Lines and windows are taken by common bigrams times Dice (a line before an equal window; windows in a
 matching line are not looked at) while they do not overlap, then what lies between is searched again.
 The whole text stands for them if it matches no worse than any line and they are one match at most.
@@ -72,6 +76,11 @@ TEMPLATES = (
 #: All that scans look for: the wordings above, which the SQL knows, and those of ``license_texts``.
 ALL_TEMPLATES = TEMPLATES + NOTICES + COMPLETE
 THRESHOLD = 0.8
+#: Words that tell licences of a family apart, words that a version follows, and the most words of a notice.
+TELLING = frozenset("noncommercial noderivatives noderivs sharealike nc nd sa lesser affero".split())
+BEFORE_VERSION = TELLING | frozenset("version v attribution by license gpl lgpl agpl mpl epl".split())
+NOTICE_WORDS = 80
+_VERSIONED = re.compile(r"v([0-9]+)")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -86,6 +95,22 @@ def bigrams(words: list[str]) -> Counter:
     return Counter(zip(words, words[1:])) if len(words) > 1 else Counter([(w,) for w in words])
 
 
+def telling(words: list[str]) -> frozenset[str]:
+    """Telling words of a passage, and versions without closing zeros."""
+    out = TELLING.intersection(words)
+    for k, word in enumerate(words):
+        joined = _VERSIONED.fullmatch(word)
+        if joined or word in BEFORE_VERSION and k + 1 < len(words) and words[k + 1].isdigit():
+            parts, k = ([joined.group(1)] if joined else []), k + 1
+            while k < len(words) and words[k].isdigit() and len(parts) < 3:
+                parts.append(words[k])
+                k += 1
+            while len(parts) > 1 and parts[-1] == "0":
+                parts.pop()
+            out |= {".".join(parts)}
+    return out
+
+
 def dice(a: Counter, b: Counter) -> float:
     total = a.total() + b.total()
     return 2 * (a & b).total() / total if total else 0.0
@@ -96,6 +121,7 @@ class Matcher:
         self.threshold = threshold
         self.grams = [bigrams(words_of(text)) for _, text in templates]
         self.sizes = [g.total() for g in self.grams]
+        self.telling = [telling(w) if len(w) <= NOTICE_WORDS else None for w in (words_of(text) for _, text in templates)]
         self.single = any(len(pair) == 1 for grams in self.grams for pair in grams)
         self.low = min(threshold * m / (2 - threshold) for m in self.sizes)
         self.high = max((2 - threshold) * m / threshold for m in self.sizes)
@@ -109,6 +135,10 @@ class Matcher:
         """Templates which a passage of ``n`` bigrams can match by size alone."""
         return [i for i, m in enumerate(self.sizes) if 2 * min(n, m) >= self.threshold * (n + m)]
 
+    def tells(self, i: int, words: list[str]) -> bool:
+        """Whether template ``i``, if it is a notice, has the telling words and versions of ``words``."""
+        return self.telling[i] is None or self.telling[i] == telling(words)
+
     def possible(self, words: list[str]) -> list[int]:
         """Templates of two words or more that some passage of ``words`` may match, by their common bigrams."""
         common: Counter = Counter()
@@ -138,7 +168,7 @@ class Matcher:
             common = np.cumsum(before[start:end] < start)
             score = 2 * common / (at[start:end] - at[start] + 1 + m)
             k = int(np.argmax(score))
-            if score[k] >= self.threshold:
+            if score[k] >= self.threshold and self.tells(i, words[places[start] : places[start + k] + 2]):
                 out.append((float(score[k]), int(common[k]), places[start], places[start + k] + 2))
         return out
 
@@ -151,6 +181,7 @@ class Matcher:
             return None
         pairs = set(zip(words, words[1:])) if len(words) > 1 else {(w,) for w in words}
         near = {i for pair in pairs & self.having.keys() for i in self.having[pair]}.intersection(self.bounded(n))
+        near = {i for i in near if self.tells(i, words)}
         if not near:
             return None
         grams = bigrams(words)
@@ -253,28 +284,3 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.when(some, F.round(-best["d"], 6)).otherwise(F.lit(0.0)).alias("dice"),
         F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",").alias("matches"),
     )
-
-
-def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The query in DuckDB's SQL: common bigrams of all passages and templates, then the best of each passage."""
-    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(templates))
-    words = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
-    grams = "case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end"
-    return f"""
-with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-l as (select r, unnest(string_split(t, chr(10))) as s, unnest(range(len(string_split(t, chr(10))))) as i from d),
-p as (
-  select r, 0 as whole, s, sum(length(s) + 1) over (partition by r order by i) - length(s) - 1 as a from l
-  union all select r, 1, t, 0 from d where contains(t, chr(10))
-), n as (select row_number() over () as k, *, {words.format('s')} as w from p),
-g as (select k, unnest({grams}) as g from n), c as (select k, g, count(*) as c from g group by 1, 2), z as (select k, sum(c) as n from c group by 1),
-tw as (select i, name, {words.format('text')} as w from (values {rows}) v(i, name, text)), tg as (select i, unnest({grams}) as g from tw),
-tc as (select i, g, count(*) as c from tg group by 1, 2), tz as (select i, sum(c) as n from tc group by 1),
-s as (select c.k, tc.i, 2 * sum(least(c.c, tc.c)) / (any_value(z.n) + any_value(tz.n)) as dice from c join tc on c.g = tc.g join z on z.k = c.k join tz on tz.i = tc.i group by 1, 2),
-b as (select * from (select *, row_number() over (partition by k order by dice desc, i) as o from s where dice >= {threshold}) where o = 1),
-m as (select n.r, n.whole, tw.name, b.dice, cast(n.a as bigint) as a, cast(n.a + length(n.s) as bigint) as e from b join n on n.k = b.k join tw on tw.i = b.i),
-u as (select *, max(case when whole = 1 then dice end) over (partition by r) as wd, max(case when whole = 0 then dice end) over (partition by r) as ld from m),
-f as (select * from u where whole = case when wd is not null and (ld is null or wd >= ld) then 1 else 0 end),
-q as (select r, count(*) as n, min({{'d': -dice, 's': a, 'l': name}}) as best, string_agg(name || ':' || a || ':' || e, ',' order by a) as matches from f group by 1)
-select doc_id, coalesce(n, 0) as n_matches, best.l as license, coalesce(round(cast(-best.d as double), 6), 0) as dice, coalesce(matches, '') as matches from d left join q using (r)
-"""

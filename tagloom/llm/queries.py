@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle_sql(), "op11_vector_join": vector_join.ORACLE, "op13_importance": importance.ORACLE, "op4_secret_scan": secret_scan.oracle_sql(), "op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
+    return {"op11_vector_join": vector_join.ORACLE, "op13_importance": importance.ORACLE, "op4_secret_scan": secret_scan.oracle_sql(), "op6_near_dedup": near_dedup.ORACLE, "op8_topk_search": topk_search.ORACLE}
