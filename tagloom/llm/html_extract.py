@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,7 +100,6 @@ SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form m
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?|[\"'][^\"']*[\"']?")
 _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none\b", re.I)
-_WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _DIGITS = re.compile(r"\d+")
 DECAY = 0.75
 _NOT_P = BLOCK - {"p"}
@@ -143,15 +142,15 @@ class Page:
         blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, innermost suspect
         suspects: list[list] = [[-1, 0, 0, 0, 0, False]]  # the suspect around it, why, characters, of these in links, in articles; whether it holds a main
         stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, element, skipped, suspect
-        open_: Counter = Counter()
+        open_: dict[str, int] = defaultdict(int)
         parts: list[str] = []
         linked, links, lower, ends = 0, 0, None, {}
 
         def flush() -> None:
             nonlocal linked
             if parts:
-                text = _WHITE.sub(" ", htmllib.unescape("".join(parts))).replace("\xa0", " ")
-                text = " ".join(text.split())
+                text = "".join(parts)
+                text = " ".join((htmllib.unescape(text) if "&" in text else text).split())
                 if text and not stack[-1][2]:
                     holder = stack[-1][1]
                     while self.tags[holder] in _TEXT_TAGS and self.parents[holder] >= 0:
@@ -175,12 +174,16 @@ class Page:
 
         def nearest(names, stops) -> int:
             """Place of the innermost open element of ``names`` that no element of ``stops`` is within; 0: none."""
-            if any(open_[n] for n in names):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in names:
-                        return k
-                    if stack[k][0] in stops:
-                        break
+            for n in names:
+                if open_.get(n):
+                    break
+            else:
+                return 0
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in names:
+                    return k
+                if stack[k][0] in stops:
+                    break
             return 0
 
         def ended(tag: str) -> bool:
@@ -220,9 +223,9 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                if k := nearest(FOREIGN, _TEXT_HOLDERS):  # a block ends markup of another kind
+                if (open_.get("svg") or open_.get("math")) and (k := nearest(FOREIGN, _TEXT_HOLDERS)):  # a block ends markup of another kind
                     close(k)
-                if k := nearest(("p",), _NOT_P):  # and an open paragraph
+                if open_.get("p") and (k := nearest(("p",), _NOT_P)):  # and an open paragraph
                     close(k)
             if tag in CLOSES:
                 if k := nearest(CLOSES[tag], _LIST_HOLDERS):
