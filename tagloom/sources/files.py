@@ -16,10 +16,12 @@ def read_labels(spark: SparkSession, path: str, split: str) -> DataFrame:
     return lines.select(F.lit(split).alias("split"), "file", "line_no", "line")
 
 
-def write_labels(labels: DataFrame, path: str) -> None:
-    """Label lines as a new text data set, one folder per split and file; nothing is changed in place."""
+def write_labels(labels: DataFrame, path: str, per_file: bool = False) -> None:
+    """Label lines as a new data set; nothing is changed in place. Its rows have the ``file`` and its whole text as ``value``, one folder
+    per split; ``per_file`` gives text files instead, in a folder for each file, for few files."""
     lines = labels.groupBy("split", "file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))  # one image's boxes
-    lines.select("split", "file", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("value")).write.partitionBy("split", "file").text(path)
+    whole = lines.select("split", "file", F.concat_ws("\n", F.transform("l", lambda x: x["line"])).alias("value"))
+    whole.write.partitionBy("split", "file").text(path) if per_file else whole.write.partitionBy("split").parquet(path)
 
 
 def write_list(paths: DataFrame, target: str, n: int = 300, column: str = "path") -> None:

@@ -35,8 +35,10 @@ def test_label_files_round_trip(spark, tmp_path):
     images = spark.createDataFrame([("train", "b.png"), ("train", "a.jpg")], "split string, image string")
     assert [r.image for r in labels.orphan_images(images, judged).collect()] == ["b.png"]
     kept = judged.where("reason is null").withColumn("line", labels.label_text(None))
-    files.write_labels(kept.select("split", "file", "line_no", "line"), str(tmp_path / "out"))
+    files.write_labels(kept.select("split", "file", "line_no", "line"), str(tmp_path / "out"), per_file=True)
     [written] = (tmp_path / "out/split=train/file=a.txt").glob("*.txt")
+    files.write_labels(kept.select("split", "file", "line_no", "line"), str(tmp_path / "table"))
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "table")).where("split = 'train' and file = 'a.txt'").collect()] == [written.read_text().rstrip("\n")]
     assert written.read_text().split("\n")[:2] == ["0 0.500000 0.500000 0.100000 0.100000", "1 0.200000 0.200000 0.100000 0.100000"]
 
 
