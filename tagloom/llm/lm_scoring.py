@@ -10,11 +10,17 @@ tokens and ask for the counts of a block's distinct tokens and bigrams; requests
 sorted 64-bit hashes, one row for each block and hash range (``bucket``), which also carry the block's
 own training counts. Each bucket sums them and answers all its blocks with packed counts. The blocks
 are made a second time from the same scan and joined to their answers. So shuffles carry a few bytes
-for each distinct token or bigram of a block, buckets hold a bounded share of all keys, and no key,
-however frequent, has more than one entry per block.
+for each distinct token or bigram of a block, and no key, however frequent, has more than one entry per block.
+
+A frequent token is in every block, so with many blocks a bucket is answered in two levels: blocks are dealt to
+sections of bounded number, a section's requests to a bucket are summed to one row of keys and counts, these rows
+are summed over sections by ranges of keys (``PARTS`` of a bucket), and each section answers its own blocks. So no group holds
+more than a section's requests to a bucket, or a range's entries of all sections. Buckets are at most as many as leave
+a block some keys for each.
 
 The hashes of tokens have 64 bits; those of bigrams are cut to the bits that tell a bucket's bigrams
-apart with a collision chance of about one in a million.
+apart with a collision chance of about one in a million, 64 at most. Weights are learned from held-out tokens counted by cells, in
+which estimates are rounded to a quarter in log2 (``STEP``), so that what the driver learns from has a fixed size.
 
 Defined results: a null or empty text is one end token; a null id is hashed as an empty text;
 repeated rows are counted and scored each; without training texts all counts are 0; an empty table
@@ -39,6 +45,8 @@ from tagloom.llm.common import bounded, slices, written
 BLOCK = 1 << 20
 #: Bytes of text per bucket of keys.
 BUCKET_BYTES = 8 << 20
+#: Most buckets; blocks of a section for each bucket; ranges of a bucket's keys that sections are summed by.
+MOST_BUCKETS, SECTION_BLOCKS, PARTS = 1 << 15, 8, 32
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...
 LEVELS = 20
 _END = b" "  # no word has a space
@@ -119,8 +127,8 @@ class Block:
         return keys, where, before
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> Iterator[Block]:
-    """Blocks of a partition's texts with a role in ``wanted``; tuning texts have their own blocks, so
+def _blocks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...], most: int) -> Iterator[Block]:
+    """Blocks of a partition's texts with a role in ``wanted``, of ``most`` tokens or a little more; tuning texts have their own blocks, so
     the numbers do not depend on which are wanted."""
     held: dict[bool, list] = {True: [[], [], [], 0, 0], False: [[], [], [], 0, 0]}
     first = TaskContext.get().partitionId() << 24
@@ -142,7 +150,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], wanted: tuple[int, ...]) -> Itera
             mine[1].append(role)
             mine[2].append(words)
             mine[3] += len(words)
-            if mine[3] >= BLOCK:
+            if mine[3] >= most:
                 yield from flush(role == TUNE)
     yield from flush(True)
     yield from flush(False)
@@ -154,7 +162,7 @@ _ANSWER = "block bigint, kind int, bucket bigint, counts binary, types bigint, t
 
 def _requests(source: DataFrame, buckets: int, nbytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, (TRAIN, TUNE, HELD)):
+        for block in _blocks(batches, (TRAIN, TUNE, HELD), BLOCK):
             train = np.repeat(block.roles != HELD, block.lengths)
             pairs, where, _ = block.bigrams(nbytes)
             rows = []
@@ -197,6 +205,55 @@ def _answers(requests: DataFrame, nbytes: int) -> DataFrame:
     return requests.groupBy("kind", "bucket").applyInArrow(run, _ANSWER)
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray, width: int) -> tuple[bytes, bytes]:
+    return _planes(keys, width), _counts(counts)
+
+
+def _answers_by_section(requests: DataFrame, buckets: int, nbytes: int, sections: int) -> DataFrame:
+    """As ``_answers``, in two levels."""
+    requests = requests.withColumn("section", F.pmod(F.xxhash64("block"), F.lit(sections)))
+    by = ["kind", "bucket", "section"]
+
+    def summed(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Bytes of a key, the group's distinct keys, their counts, and of each entry of its rows the key's number; rows' ends."""
+        width = nbytes if group["kind"][0].as_py() else 8
+        keys, counts = [_keys(k, width) for k in group["keys"].to_pylist()], [_numbers(c) for c in group["counts"].to_pylist()]
+        every, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return width, every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64), where, np.cumsum([len(k) for k in keys])
+
+    def of_section(group: pa.Table) -> pa.Table:
+        width, every, total, _, _ = summed(group)
+        part = (_bucket(every, buckets * PARTS) % np.uint64(PARTS)).astype(np.int64)  # ranges of a bucket, in order
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(every)).tolist()
+        rows = [(int(part[a]), *_packed(every[a:b], total[a:b], width)) for a, b in zip(cuts[:-1], cuts[1:])]
+        same = group.select(by).slice(0, 1).take(pa.array([0] * len(rows)))
+        return pa.table([*same.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary())))], [*by, "part", "keys", "counts"])
+
+    def of_part(group: pa.Table) -> pa.Table:
+        _, _, total, where, ends = summed(group)
+        whole = [_counts(x) for x in np.split(total[where], ends[:-1])]
+        first = group["kind"][0].as_py() == 0
+        more = [int((total > 0).sum()), int(total.sum())] if first else [0, 0]  # told once a part
+        rest = [0] * (len(whole) - 1)
+        return pa.table([*group.select([*by, "part"]).columns, pa.array(whole, pa.binary()), pa.array([more[0], *rest]), pa.array([more[1], *rest])], [*by, "part", "counts", "types", "total"])
+
+    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
+        _, every, _, where, ends = summed(asked)
+        order = np.argsort(sums["part"].to_numpy())
+        total = np.concatenate([_numbers(c) for c in sums["counts"].take(pa.array(order)).to_pylist()])
+        if len(total) != len(every):
+            raise RuntimeError("a block differs between two scans of the same input")
+        out, n = [_counts(x) for x in np.split(total[where], ends[:-1])], asked.num_rows
+        return pa.table([asked["block"], asked["kind"], asked["bucket"], pa.array(out, pa.binary()), pa.array([0] * n), pa.array([0] * n)], [c.split()[0] for c in _ANSWER.split(", ")])
+
+    kinds = "kind int, bucket bigint, section bigint, part bigint"
+    partial = requests.groupBy(*by).applyInArrow(of_section, f"{kinds}, keys binary, counts binary")
+    sums = written(partial.groupBy("kind", "bucket", "part").applyInArrow(of_part, f"{kinds}, counts binary, types bigint, total bigint"))
+    replies = requests.groupBy(*by).cogroup(sums.select(*by, "part", "counts").groupBy(*by)).applyInArrow(answer, _ANSWER)
+    told = sums.where("types > 0 or total > 0").select(F.lit(-1).cast("long"), "kind", "bucket", F.lit(None).cast("binary"), "types", "total")
+    return replies.unionAll(told)
+
+
 def _payload(source: DataFrame, wanted: tuple[int, ...]) -> DataFrame:
     """Blocks as rows: ids apart from the numbers, which are packed."""
     id_type = source.schema["id"].dataType
@@ -204,7 +261,7 @@ def _payload(source: DataFrame, wanted: tuple[int, ...]) -> DataFrame:
     names = ["block", "ids", "roles", "lengths", "tokens", "unigrams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, wanted):
+        for b in _blocks(batches, wanted, BLOCK):
             low = b.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             row = (b.number, b.ids, b.roles.tobytes(), b.lengths.astype("<i8").tobytes(), low, _planes(b.unigrams, 8))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), kind, *[pa.binary()] * 4])], names)
@@ -282,10 +339,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     write other inputs to a table first. A difference is noticed and fails the job.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), role_of(F.col(id_col)).alias("role"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(1 << 31, max(8, size // BUCKET_BYTES))
-    nbytes = min(8, -(-(int(buckets).bit_length() + _BITS) // 8))
-    answers = written(_answers(_requests(source, buckets, nbytes), nbytes))
+    measured = source.select(F.octet_length("text").alias("n"), F.spark_partition_id().alias("part"))
+    size, parts = measured.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
+    buckets = min(MOST_BUCKETS, max(8, size // BUCKET_BYTES))
+    fuller = max(0, (size // (buckets * BUCKET_BYTES)).bit_length() - 1)  # doublings of a bucket's keys
+    nbytes = min(8, -(-(int(buckets).bit_length() + _BITS + 2 * fuller) // 8))
+    blocks = size // (2 * BLOCK) + 2 * parts  # at most: a token has two bytes at least
+    sections = -(-blocks // max(1, int(SECTION_BLOCKS * buckets)))
+    requests = _requests(source, buckets, nbytes)
+    answers = written(_answers(requests, nbytes) if sections == 1 else _answers_by_section(requests, buckets, nbytes, sections))
     got = answers.where("block = -1").agg(F.sum("types"), F.sum("total")).first()
     types, total = int(got[0] or 0), int(got[1] or 0)
     uniform = 1.0 / (types + 1)

@@ -42,8 +42,10 @@ def test_counts_and_base_equal_brute_force(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the mixture predicts unseen texts better
 
 
-def test_score_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("section_blocks", [8, 0.5])
+def test_score_equals_brute_force(spark, monkeypatch, section_blocks):
     monkeypatch.setattr(s, "BLOCK", 300)  # many blocks
+    monkeypatch.setattr(s, "SECTION_BLOCKS", section_blocks)
     weights = np.tile([0.5, 0.4, 0.1], (s.LEVELS, 1))
     monkeypatch.setattr(s, "learn_weights", lambda cells, uniform: weights)
     table = docs(spark, [words(i, 40, 30) for i in range(60)]).repartition(3)
@@ -89,3 +91,21 @@ def test_odd_tables(spark):
     twice = docs(spark, ["a b", None])
     got = s.score_documents(s.written(twice.union(twice))).collect()
     assert len(got) == 4 and all(r.train_tokens == sum(counts([(0, tokens("a b")), (1, tokens(None))] * 2)[0].values()) for r in got)
+
+
+def test_a_token_in_every_block_makes_bounded_groups(spark, monkeypatch):
+    """Groups of both levels are told apart by what they hold: a section's blocks at most, or an entry a section."""
+    monkeypatch.setattr(s, "BLOCK", 50)
+    texts = [f"the {words(i, 45, 10**6)} the" for i in range(400)]
+    source = s.written(docs(spark, texts).select(s.F.col("doc_id").alias("id"), "text", s.role_of(s.F.col("doc_id")).alias("role")))
+    requests = s.written(s._requests(source, 8, 8))
+    blocks, sections = requests.select("block").distinct().count(), 16
+    of = requests.withColumn("section", s.F.pmod(s.F.xxhash64("block"), s.F.lit(sections)))
+    most = of.groupBy("kind", "bucket", "section").count().agg(s.F.max("count")).first()[0]
+    assert blocks > 150 and most < 3 * blocks / sections
+    order = ["block", "kind", "bucket"]
+    one, two = s._answers(requests, 8), s._answers_by_section(requests, 8, 8, sections)
+    plain = lambda df: sorted((*(r[c] for c in order), bytes(r.counts)) for r in df.where("block >= 0").collect())
+    assert plain(one) == plain(two)
+    whole = lambda df: tuple(df.where("block = -1").agg(s.F.sum("types"), s.F.sum("total")).first())
+    assert whole(one) == whole(two)
