@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 import pyarrow as pa
@@ -70,8 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagloom-{uuid4().hex}"
 
 
-#: Paths of tables written within each ``scratch``.
-_MADE: list[list[str]] = []
+#: Paths of tables written within each ``scratch`` of a thread, the innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -83,11 +84,11 @@ def _drop(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables written within go when it ends, but for those taken off the list that it gives, the last written last."""
     made: list[str] = []
-    _MADE.append(made)
+    token = _MADE.set((*_MADE.get(), made))
     try:
         yield made
     finally:
-        _MADE.pop()
+        _MADE.reset(token)
         for path in made:
             _drop(spark, path)
 
@@ -99,8 +100,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    if _MADE:
-        _MADE[-1].append(path)
+    if around := _MADE.get():
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

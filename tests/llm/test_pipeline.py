@@ -90,3 +90,27 @@ def test_tables_of_a_scratch_go(spark, tmp_path):
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {int(q[2:].split("_")[0]) for q in entry.queries() if re.match(r"op\d+_", q)} == set(range(1, 11))
+
+
+def test_scratch_of_each_thread(spark):
+    """What one thread writes within its scratch stays out of another's."""
+    import threading
+
+    from tagloom.llm.common import scratch, written
+
+    made, ready, done = {}, threading.Barrier(2), threading.Barrier(2)
+
+    def work(name):
+        with scratch(spark) as mine:
+            ready.wait(30)
+            kept = written(spark.range(3))
+            made[name] = list(mine)
+            done.wait(60)
+            assert kept.count() == 3
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(90)
+    assert len(made) == 2 and all(len(x) == 1 for x in made.values()) and made[0] != made[1]
