@@ -89,7 +89,7 @@ def test_tables_of_a_scratch_go(spark, tmp_path):
 
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert {int(q[2:].split("_")[0]) for q in entry.queries() if re.match(r"op\d+_", q)} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in entry.queries() if re.match(r"op\d+_", q)} == set(range(1, 14))
 
 
 def test_scratch_of_each_thread(spark):
