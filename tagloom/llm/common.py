@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,8 +16,8 @@ from pyspark.sql.window import Window as W
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 256
-#: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch, and of a row group of an intermediate table, which a writer holds in memory.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [column.to_pylist() for column in part.columns]
+    released()
+
+
+def released() -> None:
+    """Give memory that a task no longer uses back to the system, since the worker stays for later tasks."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
+        trim(0)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives lost executors. It goes with the ``scratch``
     it is made in, or when the application ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     if around := _MADE.get():

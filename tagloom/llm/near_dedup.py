@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import bounded, fresh, numbered, slices, written
+from tagloom.llm.common import bounded, fresh, numbered, released, slices, written
 from tagloom.llm.components import components
 
 BANDS, ROWS = 48, 8
@@ -251,6 +251,7 @@ def _link_blocks(table: pa.Table) -> pa.Table:
         part = table.take(pa.array(rows))
         group, degree = local_groups(_arrays(part["data"]))
         out.append(pa.table({"root": part["root"], "node": part["node"], "local": pa.array(nodes[rows][group]), "degree": pa.array(degree)}))
+    released()
     return pa.concat_tables(out)
 
 
