@@ -141,33 +141,47 @@ def equalized(pixels: DataFrame, value: str, clip: float = 3.0, tiles: int = 8,
 
     A frame is cut into ``tiles`` by ``tiles`` (the last ones may be smaller). Each tile's histogram is cut at
     ``clip`` times its mean, what is cut is dealt evenly over all levels, and its running sums are a map of levels. A
-    pixel's new level is blended from the maps of the four tiles about it, as far as there are such. Histograms and maps have 256 rows a tile.
+    pixel's new level is blended from the maps of the four tiles about it, as far as there are such. Histograms have at most 256
+    rows a tile, a map is one row of 256 bytes, and a pixel meets the maps of the cell between the tiles' middles that it lies in.
+    Joins are shuffled whatever Spark estimates, which knows neither how files are compressed nor how long arrays are.
     """
     names = list(keys)
-    shape = pixels.groupBy(*names).agg(*(F.ceil((F.max(c) + 1) / tiles).cast("long").alias(f"_{c}side") for c in ("x", "y")), *((F.max(c) + 1).cast("long").alias(f"_{c}size") for c in ("x", "y")))
-    placed = pixels.join(shape, names).withColumns({f"_{c}tile": F.floor(F.col(c) / F.col(f"_{c}side")) for c in ("x", "y")})
+    shape = pixels.groupBy(*names).agg(*(F.ceil((F.max(c) + 1) / tiles).cast("long").alias(f"_{c}side") for c in ("x", "y")))
+    placed = pixels.join(shape.hint("shuffle_hash"), names).withColumns({f"_{c}tile": F.floor(F.col(c) / F.col(f"_{c}side")) for c in ("x", "y")})
     tile = [*names, "_xtile", "_ytile"]
+    whole = W.partitionBy(*tile)
     counts = placed.groupBy(*tile, F.col(value).cast("long").alias("level")).agg(F.count("*").alias("n"))
-    area = counts.groupBy(*tile).agg(F.sum("n").alias("area"))
+    known = F.col("level").between(0, LEVELS - 1)
+    bins = counts.withColumn("area", F.sum("n").over(whole)).withColumn("n", F.when(known, F.col("n")).otherwise(0))
     limit = F.greatest(F.floor(clip * F.col("area") / LEVELS), F.lit(1))
-    bins = area.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LEVELS - 1).cast("long")))).join(counts, [*tile, "level"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    over = F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(W.partitionBy(*tile))
-    bins = bins.withColumn("_over", over).withColumn("_rest", F.col("_over") % LEVELS).withColumn("_step", F.greatest(F.floor(LEVELS / F.greatest("_rest", F.lit(1))), F.lit(1)))
-    dealt = F.floor(F.col("_over") / LEVELS) + F.when((F.col("level") % F.col("_step") == 0) & (F.floor(F.col("level") / F.col("_step")) < F.col("_rest")), 1).otherwise(0)
-    so_far = W.partitionBy(*tile).orderBy("level").rowsBetween(W.unboundedPreceding, 0)
-    maps = bins.select(*tile, "level", "area", (F.least(F.col("n"), limit) + dealt).alias("n"))
-    maps = maps.select(*tile, "level", F.bround(F.sum("n").over(so_far) * (LEVELS - 1.0) / F.col("area")).alias("to"))
-
-    # the two tiles along each axis that a pixel lies between, and its share of the second
-    for c in ("x", "y"):
-        at = F.col(c) / F.col(f"_{c}side") - 0.5
-        last = F.floor((F.col(f"_{c}size") - 1) / F.col(f"_{c}side"))
-        placed = placed.withColumns({f"_{c}0": F.greatest(F.floor(at), F.lit(0)), f"_{c}1": F.least(F.floor(at) + 1, last), f"_{c}w": at - F.floor(at)})
-    corner = lambda x, y: F.struct(F.col(f"_x{x}").alias("xt"), F.col(f"_y{y}").alias("yt"), ((F.col("_xw") if x else 1 - F.col("_xw")) * (F.col("_yw") if y else 1 - F.col("_yw"))).alias("w"))
+    bins = bins.withColumn("_over", F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(whole))
+    bins = bins.withColumn("_sum", F.sum(F.least(F.col("n"), limit)).over(whole.orderBy("level").rowsBetween(W.unboundedPreceding, 0)))
+    bins = bins.groupBy(*tile, "area", "_over").agg(F.array_sort(F.collect_list(F.when(known, F.struct("level", "_sum")))).alias("_bins"))
+    bins = bins.withColumn("_rest", F.col("_over") % LEVELS).withColumn("_step", F.greatest(F.floor(LEVELS / F.greatest("_rest", F.lit(1))), F.lit(1)))
+    # every level's running sum: that of the last level before it that the tile has
+    start = lambda k: F.coalesce(F.get("_bins", k)["level"], F.lit(LEVELS)).cast("int")
+    sums = F.flatten(F.transform("_bins", lambda b, k: F.array_repeat(b["_sum"], start(k + 1) - start(k))))
+    sums = F.concat(F.array_repeat(F.lit(0).cast("long"), start(F.lit(0))), sums)
+    dealt = lambda level: F.floor(F.col("_over") / LEVELS) * (level + 1) + F.least(F.floor(level / F.col("_step")) + 1, F.col("_rest"))
+    to = F.transform(sums, lambda n, level: (F.bround((n + dealt(level)) * (LEVELS - 1.0) / F.col("area")) - LEVELS // 2).cast("tinyint"))  # a byte, so less 128
+    maps = bins.select(*tile, to.alias("to"))
+
+    # a cell has up to four tiles: x and y tell the second along each axis
+    near = F.array(*(F.struct((F.col("_xtile") - x).alias("_xcell"), (F.col("_ytile") - y).alias("_ycell"), F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 1) for y in (0, 1)))
+    cell = [*names, "_xcell", "_ycell"]
+    cells = maps.select(*names, "to", F.explode(near).alias("_c")).select(*names, "_c._xcell", "_c._ycell", F.struct("_c.x", "_c.y", "to").alias("_m"))
+    cells = cells.groupBy(*cell).agg(F.collect_list("_m").alias("_maps"))
     others = [c for c in pixels.columns if c not in (*names, "x", "y", value)]
-    four = placed.withColumn("_c", F.explode(F.array(*(corner(x, y) for x in (0, 1) for y in (0, 1)))))
-    four = four.select(*names, "x", "y", *others, F.col(value).cast("long").alias("level"), F.col("_c.xt").alias("_xtile"), F.col("_c.yt").alias("_ytile"), F.col("_c.w").alias("_w"))
-    mixed = four.join(maps, [*tile, "level"]).groupBy(*names, "x", "y", *others).agg((F.sum(F.col("_w") * F.col("to")) / F.sum("_w")).alias("_v"))
+    at = {c: F.col(c) / F.col(f"_{c}side") - 0.5 for c in ("x", "y")}
+    inner = placed.where(F.col(value).cast("long").between(0, LEVELS - 1))
+    inner = inner.select(*names, "x", "y", *others, F.col(value).cast("int").alias("_level"), *(F.floor(a).alias(f"_{c}cell") for c, a in at.items()), *((a - F.floor(a)).alias(f"_{c}w") for c, a in at.items()))
+    side = lambda m, c: F.when(m[c] == 1, F.col(f"_{c}w")).otherwise(1 - F.col(f"_{c}w"))
+    share = lambda m: side(m, "x") * side(m, "y")
+    mixed = inner.join(cells.hint("merge"), cell).select(
+        *cell, "x", "y", *others, F.aggregate("_maps", F.lit(0.0), lambda v, m: v + share(m) * (F.get(m["to"], F.col("_level")) + LEVELS // 2)).alias("_v"),
+        F.aggregate("_maps", F.lit(0.0), lambda w, m: w + share(m)).alias("_w"),
+    )
+    mixed = mixed.groupBy(*cell, "x", "y", *others).agg((F.sum("_v") / F.sum("_w")).alias("_v"))
     return mixed.select(*names, "x", "y", *others, F.floor(F.round("_v", 6) + 0.5).cast("int").alias(value)).select(*pixels.columns)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tagloom.operators import pixels as px
+from tagloom.plans import catalog
 
 
 def frame(spark, *images, key="frame_id"):
@@ -112,6 +113,21 @@ def test_equalisation_equals_a_plain_version(spark, h, w, tiles):
             assert got[y, x] == math.floor(round(mixed, 6) + 0.5), (y, x)
 
 
+def test_equalisation_of_odd_levels(spark):
+    """Levels that are null or none of 256 give no pixel: a tile of such alone maps all to 0, one without pixels has no map."""
+    rows = [(0, y, x, 255) for y in range(4) for x in range(4)] + [(0, 0, 4, 300), (0, 1, 4, None), (0, 2, 5, -4), (0, 7, 7, 7), (0, 7, 7, 7)]
+    got = px.equalized(spark.createDataFrame(rows, "frame_id long, y int, x int, v int"), "v", 3.0, 2)
+    expected = {(y, x): 191 if x == 3 else 255 for y in range(4) for x in range(4)} | {(3, 3): 196, (7, 7): 255}
+    # 191: three quarters of 255; 196: 0.5625 and 0.0625, of the tile with the last pixel, over 0.8125, as the tile below has none
+    assert sorted(map(tuple, got.collect())) == sorted((0, y, x, v) for (y, x), v in expected.items())
+
+
+def test_equalisation_broadcasts_no_table(spark, sf_dir):
+    """Estimates come from compressed files and know no explode, so maps of all tiles were sent to the driver."""
+    plan = catalog.queries()["equalized_levels"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def flood(m):
     seen, out = set(), []
     for start in zip(*np.nonzero(m)):
