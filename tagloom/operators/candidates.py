@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tagloom.operators.nms import BOX, suppress
 
@@ -41,28 +40,42 @@ def nearest_white(boxes: DataFrame, keys: list[str], radius: float = 150) -> Dat
 
 def candidates(boxes: DataFrame, keys: list[str], radius: float = 150, ar_min: float = 0.4, ar_max: float = 6.0) -> DataFrame:
     """Candidates of each frame before suppression, in the order of their making (``det_ord``):
-    red joined with its nearest white, red alone, white that none has taken, yellow."""
-    reds = nearest_white(boxes, keys, radius)
-    joined = reds.where("w_det_ord is not null")
-    x1, y1, x2, y2 = F.least("r_x1", "w_x1"), F.least("r_y1", "w_y1"), F.greatest("r_x2", "w_x2"), F.greatest("r_y2", "w_y2")
+    red joined with its nearest white, red alone, white that none has taken, yellow. A frame's boxes
+    are one row, so ``boxes``, which may be long in the making, are made once."""
+    item = F.struct(F.col("det_ord").alias("_o"), *BOX)
+    of = lambda color: F.collect_list(F.when(F.col("color") == color, item))
+    listed = boxes.groupBy(*keys).agg(F.array_distinct(of("red")).alias("_red"), of("white").alias("_white"), of("yellow").alias("_yellow"))
+    dx = lambda a, b: (a["x1"] + a["x2"]) / 2 - (b["x1"] + b["x2"]) / 2
+    dy = lambda a, b: (a["y1"] + a["y2"]) / 2 - (b["y1"] + b["y2"]) / 2
+    far = lambda r, w: F.struct(F.sqrt(dx(r, w) * dx(r, w) + dy(r, w) * dy(r, w)).alias("_d"), *(w[c].alias(c) for c in ("_o", *BOX)))
+    known = F.lit(True)
+    for k in keys:  # boxes of no frame have no neighbours
+        known = known & F.col(k).isNotNull()
+    near = lambda r: F.when(known, F.array_min(F.filter(F.transform("_white", lambda w: far(r, w)), lambda q: q["_d"] < radius)))
+    reds = listed.withColumn("_red", F.transform("_red", lambda r: F.struct(r.alias("r"), near(r).alias("w"))))
+    reds = reds.withColumn("_joined", F.filter("_red", lambda p: p["w"].isNotNull()))
     one = lambda v: F.least(v, F.lit(1.0))
-
-    def made(df: DataFrame, corners: tuple, conf: Column, tag: str, group: int, order: str) -> DataFrame:
-        return df.select(*keys, *(c.alias(n) for c, n in zip(corners, BOX)), conf.cast("double").alias("conf"), F.lit(tag).alias("tag_type"), F.lit(group).alias("_g"), F.col(order).alias("_o"))
-
-    pairs = made(joined.where(_area(x1, y1, x2, y2) < 80_000), (x1, y1, x2, y2), F.least(0.6 + 0.3 * one((x2 - x1) / 300), F.lit(0.95)), "promo", 0, "r_det_ord")
-    r = [F.col(f"r_{c}") for c in BOX]
-    alone = reds.where(F.col("w_det_ord").isNull() & (r[3] - r[1] > 30) & (_area(*r) < 30_000))
-    alone = made(alone, tuple(r), F.lit(0.5), "promo", 1, "r_det_ord")
-    taken = joined.select(*keys, *(F.col(f"w_{c}").alias(c) for c in BOX)).distinct()
-    white = boxes.where("color = 'white'").join(taken, [*keys, *BOX], "left_anti")
-    shape = F.coalesce(F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(0.0))
-    b = tuple(F.col(c) for c in BOX)
-    white = made(white.where((shape > ar_min) & (shape < ar_max)), b, F.least(0.5 + 0.3 * one((b[2] - b[0]) / 250), F.lit(0.85)), "pricetag", 2, "det_ord")
-    yellow = made(boxes.where("color = 'yellow'"), b, F.lit(0.55), "promo", 3, "det_ord")
-    every = pairs.unionByName(alone).unionByName(white).unionByName(yellow)
-    order = F.row_number().over(W.partitionBy(*keys).orderBy("_g", "_o")) - 1
-    return every.withColumn("det_ord", order).drop("_g", "_o")
+    corners = lambda b: tuple(b[c] for c in BOX)
+
+    def made(box: tuple, conf: Column, tag: str, group: int, order: Column) -> Column:
+        return F.struct(F.lit(group).alias("_g"), order.alias("_o"), *(c.alias(n) for c, n in zip(box, BOX)), conf.cast("double").alias("conf"), F.lit(tag).alias("tag_type"))
+
+    def pair(p: Column) -> Column:
+        r, w = p["r"], p["w"]
+        x1, x2 = F.least(r["x1"], w["x1"]), F.greatest(r["x2"], w["x2"])
+        box = (x1, F.least(r["y1"], w["y1"]), x2, F.greatest(r["y2"], w["y2"]))
+        return made(box, F.least(0.6 + 0.3 * one((x2 - x1) / 300), F.lit(0.95)), "promo", 0, r["_o"])
+
+    shape = lambda b: F.coalesce(F.try_divide(b["x2"] - b["x1"], b["y2"] - b["y1"]), F.lit(0.0))
+    same = lambda a, b: (a["x1"] == b["x1"]) & (a["y1"] == b["y1"]) & (a["x2"] == b["x2"]) & (a["y2"] == b["y2"])
+    pairs = F.filter(F.transform("_joined", pair), lambda m: _area(*corners(m)) < 80_000)
+    alone = F.filter("_red", lambda p: p["w"].isNull() & (p["r"]["y2"] - p["r"]["y1"] > 30) & (_area(*corners(p["r"])) < 30_000))
+    alone = F.transform(alone, lambda p: made(corners(p["r"]), F.lit(0.5), "promo", 1, p["r"]["_o"]))
+    free = F.filter("_white", lambda b: (shape(b) > ar_min) & (shape(b) < ar_max) & ~F.coalesce(F.exists("_joined", lambda p: same(p["w"], b)), F.lit(False)))
+    white = F.transform(free, lambda b: made(corners(b), F.least(0.5 + 0.3 * one((b["x2"] - b["x1"]) / 250), F.lit(0.85)), "pricetag", 2, b["_o"]))
+    yellow = F.transform("_yellow", lambda b: made(corners(b), F.lit(0.55), "promo", 3, b["_o"]))
+    rows = reds.select(*keys, F.posexplode(F.array_sort(F.concat(pairs, alone, white, yellow))).alias("det_ord", "_m"))
+    return rows.select(*keys, *(F.col("_m")[c].alias(c) for c in (*BOX, "conf", "tag_type")), "det_ord")
 
 
 def detect(boxes: DataFrame, keys: list[str], radius: float = 150, threshold: float = 0.2) -> DataFrame:

@@ -29,8 +29,11 @@ def first_variant(lines: DataFrame, keys: list[str], least: float = 0.5) -> Data
 
 def reference_pixels(pixels: DataFrame, frames: int = 5) -> DataFrame:
     """Mean of each pixel's s and v over a video's first frames, cut to whole numbers."""
-    first = pixels.where(F.col("frame_rank") <= frames)
-    return first.groupBy("video_id", "x", "y").agg(*(F.avg(c).cast("int").alias(c) for c in ("s", "v")))
+    return mean_pixels(pixels.where(F.col("frame_rank") <= frames))
+
+
+def mean_pixels(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("video_id", "x", "y").agg(*(F.avg(c).cast("int").alias(c) for c in ("s", "v")))
 
 
 def mean_color(pixels: DataFrame, keys: list[str]) -> DataFrame:

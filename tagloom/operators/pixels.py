@@ -9,8 +9,10 @@ labelled by stripes of rows. Where a frame's edge is met, what is there counts (
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -30,11 +32,12 @@ def _along(axis: str, keys: tuple[str, ...]) -> WindowSpec:
 # ---- morphology
 
 
-def closed(pixels: DataFrame, value: str, size: int = 7, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def closed(pixels: DataFrame, value: str, size: int = 7, keys: tuple[str, ...] = KEYS, folds: tuple[Callable, Callable] = (F.max, F.min)) -> DataFrame:
     """``pixels`` with ``value`` closed by a square: the largest about each pixel, then the smallest of these. Both
-    are separable; neighbouring steps along the same axis share an exchange."""
+    are separable; neighbouring steps along the same axis share an exchange. With ``folds`` of bits, several masks are closed as one."""
     before, after = size // 2, size - 1 - size // 2
-    for axis, fold, low, high in (("x", F.max, -before, after), ("y", F.max, -before, after), ("y", F.min, -after, before), ("x", F.min, -after, before)):
+    grow, shrink = folds
+    for axis, fold, low, high in (("x", grow, -before, after), ("y", grow, -before, after), ("y", shrink, -after, before), ("x", shrink, -after, before)):
         pixels = pixels.withColumn(value, fold(value).over(_along(axis, keys).rowsBetween(low, high)))
     return pixels
 
@@ -191,7 +194,7 @@ def equalized(pixels: DataFrame, value: str, clip: float = 3.0, tiles: int = 8,
 def runs(mask: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Maximal runs of set pixels in each row: ``y``, ``x1`` and ``x2``, both within."""
     along = _along("x", keys)
-    set_ = mask.where(F.col(value) > 0).select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    set_ = mask.where((F.col(value) > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
     marked = set_.withColumn("_run", F.col("x") - F.row_number().over(along))
     return marked.groupBy(*keys, "y", "_run").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).drop("_run")
 
@@ -227,6 +230,26 @@ def _touching(rows: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, in
     return out
 
 
+def _by_group(df: DataFrame, names: list[str], order: list[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], types: str, out: pa.Schema) -> DataFrame:
+    """``names`` with what ``work`` gives for the other columns of each of their groups, met in ``order``. A task meets its
+    groups one after the other in sorted rows, since calls for each of many small groups would cost more than their work."""
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([*(first.schema.field(i) for i in range(n)), *out])
+        rows = (r for b in chain([first], batches) for r in zip(*(c.to_pylist() for c in b.columns)))
+        done = (key + r for key, group in groupby(rows, lambda r: r[:n]) for r in work(r[n:] for r in group))
+        while some := list(islice(done, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    kept = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in names)
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*names, *rest).repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(run, f"{kept}, {types}")
+
+
 def regions(mask: DataFrame, value: str, keys: tuple[str, ...] = KEYS, stripe: int = STRIPE) -> DataFrame:
     """Connected regions of set pixels (corners connect): per region of a frame its box ``x1`` to ``y2`` (ends beyond it) and ``pixels``.
 
@@ -235,37 +258,46 @@ def regions(mask: DataFrame, value: str, keys: tuple[str, ...] = KEYS, stripe: i
     """
     names = list(keys)
     source = runs(mask, value, keys).withColumn("stripe", F.floor(F.col("y") / stripe))
-    types = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names)
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x1"]).reset_index(drop=True)
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for k, (y, x1, x2) in enumerate(pdf[["y", "x1", "x2"]].itertuples(index=False, name=None)):
+    def united(numbers: list[int], parts: list[tuple]) -> Iterable[tuple]:
+        """Parts of the same number as one: box and pixels."""
+        whole: dict[int, tuple] = {}
+        for k, (x1, y1, x2, y2, n) in zip(numbers, parts):
+            a = whole.get(k)
+            whole[k] = (x1, y1, x2, y2, n) if a is None else (min(a[0], x1), min(a[1], y1), max(a[2], x2), max(a[3], y2), a[4] + n)
+        return whole.items()
+
+    def label(found: Iterator[tuple]) -> Iterator[tuple]:
+        parts, rows, ends = [], {}, {}
+        for k, (y, x1, x2) in enumerate(found):
             rows.setdefault(y, []).append((x1, x2, k))
-        pdf["part"] = _joined(len(pdf), _touching(rows))
-        pdf["edge"] = (pdf["y"] % stripe == 0) | (pdf["y"] % stripe == stripe - 1)
-        return pdf
-
-    parts = source.groupBy(*names, "stripe").applyInPandas(label, f"{types}, y bigint, x1 bigint, x2 bigint, stripe bigint, part bigint, edge boolean")
-    box = [F.min("x1").alias("x1"), F.min("y").alias("y1"), (F.max("x2") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("x2") - F.col("x1") + 1).alias("pixels")]
-    ends = F.collect_list(F.when(F.col("edge"), F.struct("y", "x1", "x2"))).alias("ends")  # of a stripe's first and last row
-    parts = parts.groupBy(*names, "stripe", "part").agg(*box, ends)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for k, ends in enumerate(pdf["ends"]):
+            parts.append((x1, y, x2 + 1, y + 1, x2 - x1 + 1))
+        numbers = _joined(len(parts), _touching(rows))
+        for k, (x1, y, x2, _, _) in zip(numbers, parts):
+            if y % stripe in (0, stripe - 1):
+                ends.setdefault(k, []).append({"y": y, "x1": x1, "x2": x2 - 1})
+        for k, part in united(numbers, parts):
+            yield *part, ends.get(k, [])
+
+    def merge(found: Iterator[tuple]) -> Iterator[tuple]:
+        parts, rows = [], {}
+        for *part, ends in found:
+            if not ends:
+                yield tuple(part)
+                continue
             for e in ends:
-                rows.setdefault(int(e["y"]), []).append((int(e["x1"]), int(e["x2"]), k))
+                rows.setdefault(e["y"], []).append((e["x1"], e["x2"], len(parts)))
+            parts.append(part)
         for some in rows.values():
             some.sort()
-        pdf["region"] = _joined(len(pdf), _touching(rows))
-        return pdf.drop(columns=["ends", "stripe", "part"])
-
-    open_ = parts.where(F.size("ends") > 0).groupBy(*names).applyInPandas(merge, f"{types}, x1 bigint, y1 bigint, x2 bigint, y2 bigint, pixels bigint, region bigint")
-    joined = open_.groupBy(*names, "region").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("pixels").alias("pixels"))
-    columns = [*names, "x1", "y1", "x2", "y2", "pixels"]
-    return joined.select(columns).unionByName(parts.where(F.size("ends") == 0).select(columns))
+        for _, part in united(_joined(len(parts), _touching(rows)), parts):
+            yield part
+
+    types = "x1 bigint, y1 bigint, x2 bigint, y2 bigint, pixels bigint"
+    box = [(c, pa.int64()) for c in ("x1", "y1", "x2", "y2", "pixels")]
+    run = pa.struct([(c, pa.int64()) for c in ("y", "x1", "x2")])
+    parts = _by_group(source.select(*names, "stripe", "y", "x1", "x2"), [*names, "stripe"], ["y", "x1"], label, f"{types}, ends array<struct<y:bigint,x1:bigint,x2:bigint>>", pa.schema([*box, ("ends", pa.list_(run))]))
+    return _by_group(parts.drop("stripe"), names, [], merge, types, pa.schema(box))
 
 
 def principal_axis(mask: DataFrame, value: str, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tagloom.operators import candidates, detection
+from tagloom.plans import catalog
 from tagloom.plans import fixtures as fx
 from tests.test_pixels import flood
 
@@ -50,3 +51,10 @@ def test_boxes_of_pixels(spark, calibrate):
     assert got == expected and {c for _, _, c, *_ in got} == {"white", "red", "yellow"}
     whole = detection.detect(px, calibrate, size=3, min_w=3, min_h=2)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, candidates.detect(boxes, detection.KEYS).select(whole.columns).collect()))
+
+
+def test_boxes_are_made_once(spark, sf_dir):
+    """Candidates of red, white and yellow need the same boxes, and the three colours the same windows over pixels."""
+    plan = catalog.queries()["pixel_candidates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow ") + plan.count("InPandas ") == 2  # stripes, then frames
+    assert plan.count("bit_or(") > 0 and plan.count("FlatMapGroups") == 0
