@@ -7,9 +7,10 @@ one by one from all shingles, so each is filled for any set, and since a round t
 about T*log(T) throws suffice whatever the set's size. Two sets agree in a coordinate with the
 probability of their Jaccard similarity, and agreements concentrate as for independent coordinates.
 
-1. Equal sets are one class; only a class's smallest document goes on.
+1. Equal sets are one class, with its smallest document.
 2. Bands of R coordinates are hashed; classes sharing a band are joined to the band's smallest class
-   (a star, not all pairs), and the components of these stars are the clusters to verify.
+   (a star, not all pairs), and the components of these stars are the clusters to verify. Each batch joins its own
+   first and sends one class a band, so bands are shuffled once and one that many share is a few rows.
 3. Clusters are cut into blocks of bounded size, whose exact similarities link their members.
 4. Clusters of several blocks: the linked groups of all blocks are tested against the cluster's
    largest ones. For what is still unconnected, pairs of different components of which one member is outside the
@@ -194,10 +195,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, sketches: bool, wanted=No
                 node = set_hash(items) if len(items) else None
                 if sketches:
                     data = band_keys(sketch(items)).tobytes() if len(items) else None
-                elif node is None or (node, id_) in seen:
+                elif node is None or node in seen:
                     continue
                 else:
-                    seen.add((node, id_))
+                    seen.add(node)
                     data = items.tobytes()
                 rows.append((id_, len(items), node, data))
             if rows:
@@ -206,16 +207,36 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, sketches: bool, wanted=No
     return bounded(source).mapInArrow(run, "doc_id bigint, n bigint, node bigint, data binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """A row (key, node) for each band of each class."""
+def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands of a batch's classes (node, data), sorted: keys, classes, and where each key begins with its smallest class."""
+    nodes, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+    keys = np.frombuffer(b"".join(batch.column(1).take(pa.array(first)).to_pylist()), np.int64)
+    order = np.argsort(keys, kind="stable")  # of equal keys the smaller class stays first
+    keys = keys[order]
+    return keys, np.repeat(nodes, BANDS)[order], np.diff(keys, prepend=~keys[:1]) != 0
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest class of each band that a batch has."""
+    for batch in batches:
+        keys, nodes, begins = _bands(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[begins]), pa.array(nodes[begins])], ["key", "node"])
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the bands within a batch."""
+    for batch in batches:
+        _, nodes, begins = _bands(batch)
+        lead = np.repeat(nodes[begins], np.diff(np.append(np.flatnonzero(begins), len(nodes))))
+        a, b = np.unique(np.stack([nodes[~begins], lead[~begins]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
-    return bounded(classes.select("node", "data")).mapInArrow(run, "key bigint, node bigint")
+def _stars(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all classes sharing a band, through the band's smallest class. A class may be in many rows."""
+    rows = bounded(rows.where("node is not null").select("node", "data"))
+    heads = rows.mapInArrow(_heads, "key bigint, node bigint").withColumn("lead", F.min("node").over(W.partitionBy("key")))  # a row a batch
+    return rows.mapInArrow(_inner, "a bigint, b bigint").unionAll(heads.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
 
 
 def _filter_of(ids: DataFrame):
@@ -246,8 +267,7 @@ def _link_blocks(table: pa.Table) -> pa.Table:
     """Members of whole blocks: each with its local group (smallest class) and number of links."""
     nodes, out = table["node"].to_numpy(), []
     for rows in _by(table, "root", "block"):
-        _, first = np.unique(nodes[rows], return_index=True)
-        rows = rows[first]
+        rows = rows[np.argsort(nodes[rows])]
         part = table.take(pa.array(rows))
         group, degree = local_groups(_arrays(part["data"]))
         out.append(pa.table({"root": part["root"], "node": part["node"], "local": pa.array(nodes[rows][group]), "degree": pa.array(degree)}))
@@ -395,25 +415,19 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """Rows (doc_id, n, node), each class's ``component_id``, and the chosen class (node, doc_id) of each component."""
     spark = docs.sparkSession
     rows = written(_sets(docs, id_col, text_col, True))
-    classes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("data").alias("data")))
+    classes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n")))
 
     # clusters: components of the stars of shared bands
-    bands = _bands(classes)
-    leads = written(bands.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", "lead"))
-    stars = bands.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = components(stars)
+    clusters = components(_stars(rows))
     found = clusters.join(classes.select("node", "doc_id", "n"), "node")
     sizes = written(clusters.join(classes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("items")))
     blocks_of = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("items") / BLOCK_SHINGLES))
     found = written(found.join(sizes.select("root", blocks_of.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
 
-    # the sets of their members, once
+    # the sets of their members, once: each task sends a class once, and of these one is kept before the join
     wanted = spark.sparkContext.broadcast(bytes(_filter_of(found)))  # a fixed size
-    sets = _sets(docs, id_col, text_col, False, wanted).select("node", "doc_id", "data").join(found.select("node", F.col("doc_id").alias("rep"), "root", "blocks", "block"), "node")
-    sets = written(sets.where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep"))
-    if not sets.where("doc_id is null").isEmpty():  # each task sends a class of null ids once; one of these is enough
-        sets = written(sets.where("doc_id is not null").unionAll(sets.where("doc_id is null").dropDuplicates(["node"])))
-    sets = sets.drop("doc_id")
+    sets = _sets(docs, id_col, text_col, False, wanted).select("node", "data").dropDuplicates(["node"])
+    sets = written(sets.join(found.select("node", "root", "blocks", "block"), "node"))
 
     # links within blocks; small clusters share units of bounded size
     units = 1 + (sizes.agg(F.sum("items")).first()[0] or 0) // UNIT_SHINGLES
@@ -429,13 +443,13 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         groups = written(groups)
         rank = F.row_number().over(W.partitionBy("root").orderBy(F.desc("size"), "local"))
         pivots = groups.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-        shape = sets.dropDuplicates(["node"]).select("node", "data")
-        with_set = written(groups.join(shape, "node").select("root", "local", "data"))
+        of_many = sets.where("blocks > 1")
+        with_set = written(groups.join(of_many.select("node", "data"), "node").select("root", "local", "data"))
         pivot_sets = written(with_set.join(pivots.select("root", "local"), ["root", "local"]).select("root", F.col("local").alias("p_local"), F.col("data").alias("p_data")))
         tests = with_set.join(pivot_sets, "root").where("local <> p_local").select("local", "data", "p_local", "p_data")
         labels = written(_labels(labels, bounded(tests).mapInArrow(_link_pivots, "a bigint, b bigint")))
         # members outside a cluster's largest component and those of others that they may be linked with
-        placed = written(sets.join(many, "root").dropDuplicates(["node"]).join(labels, "node"))
+        placed = written(of_many.join(labels, "node"))
         largest = placed.groupBy("root", "label").agg(F.count("*").alias("size")).groupBy("root").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
         placed = placed.join(written(largest), "root")
         outside = written(placed.where("label <> main").select("root").distinct())

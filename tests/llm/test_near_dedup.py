@@ -95,6 +95,55 @@ def test_texts_put_together_from_the_same_parts_propose_few_pairs(spark, monkeyp
     assert len(links) >= 40 and links <= {(min(p), max(p)) for p in got} and len(got) < 0.05 * size * size / 2
 
 
+def shuffled(spark, run):
+    """Rows and bytes that stages of ``run`` wrote to shuffles, and its result."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    new = [s for k, s in stages().items() if k not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new), out
+
+
+@pytest.fixture
+def joins_shuffle(spark):
+    """As on large tables: no join is a broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_bands_are_shuffled_once(spark, joins_shuffle, batch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))  # 7: clusters of many batches
+    try:
+        texts = [*family(1, 60, 6), *family(2, 25, 3), *(words(i, 60) for i in range(1000, 1400))]
+        random.Random(4).shuffle(texts)
+        rows, _, got = shuffled(spark, lambda: n.near_duplicates(docs(spark, texts).repartition(3)).collect())
+    finally:
+        spark.conf.set(name, before)
+    assert {r.doc_id: r.component_id for r in got} == brute(list(enumerate(texts)))
+    assert rows < 1.5 * n.BANDS * len(texts)
+
+
+def test_sets_are_shuffled_twice(spark, joins_shuffle, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_MEMBERS", 8)
+    texts = [*family(1, 30, 6), *(f"{words(i, 2000)}{end}" for i in range(2000, 2060) for end in ("", " e"))]  # a cluster of many blocks, and pairs
+    size = sum(8 * len(n.shingles(t)) for t in texts)
+    _, sent, got = shuffled(spark, lambda: n.near_duplicates(docs(spark, texts)).collect())
+    assert {r.doc_id: r.component_id for r in got} == brute(list(enumerate(texts)))
+    assert sent < 2.7 * size
+
+
 def test_whole_table_equals_sql(spark, sf_dir):
     assert_same(n.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), n.ORACLE, sf_dir)
 
